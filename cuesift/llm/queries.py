@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, sharding
-from .common import pick
+from . import chat, decontam, langid, line_dedup, packing, sharding, token_counts
+from .common import pick, scratch
+
+
+def byte_bpe_path() -> str:
+    """Where the public byte-level vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
@@ -22,6 +29,43 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.mark_contaminated(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP2_SQL = r"""
+with dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+iw as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+il as (select item_id, w, least(10, len(w)) as n from iw where len(w) > 0),
+win as (
+  select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') as win
+  from (select item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as p from il)),
+lens as (select distinct n from win),
+dwin as (
+  select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as win
+  from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as p from dw, lens where len(w) >= n)),
+hits as (select d.doc_id, d.n, d.p, win.item_id from dwin d join win on d.n = win.n and d.win = win.win),
+marked as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(generate_series(p, p + n - 1)) as x from (select distinct doc_id, n, p from hits)) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from hits) group by doc_id)
+select dw.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join marked using (doc_id) left join items using (doc_id)
+"""
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch of inserts, committed twice to a fresh ledger (the second time changes nothing)."""
+    ledger = token_counts.TokenLedger(spark, scratch(spark, "ledger"), byte_bpe_path(), "byte_bpe_50k")
+    batch = token_counts.inserts(table(spark, sf_dir, "documents", ["source", "lang", "text"]))
+    ledger.commit("load", batch)
+    ledger.commit("load", batch)
+    return ledger.totals()
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents", ["doc_id", "text"]))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -43,6 +87,16 @@ from f group by doc_id
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify_languages(table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
+    return out.select(F.col("k").alias("doc_id"), "held_out", F.col("pred.lang").alias("lang_pred"), F.col("pred.score").alias("score"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents", ["doc_id", "text"]), byte_bpe_path())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one hostile one, formatted and read back from the output."""
     rows = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
@@ -71,7 +125,11 @@ from e group by conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_decontamination": op2_decontamination,
+    "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_language_id": op5_language_id,
+    "op7_packing": op7_packing,
     "op9_chat_formatting": op9_chat_formatting,
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_chat_formatting": OP9_SQL}
