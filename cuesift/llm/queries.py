@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, line_dedup, packing, sharding, token_counts
+from . import chat, decontam, langid, line_dedup, minhash, packing, sharding, token_counts
 from .common import pick, scratch
 
 
@@ -92,6 +92,29 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("k").alias("doc_id"), "held_out", F.col("pred.lang").alias("lang_pred"), F.col("pred.score").alias("score"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]), percent=85)
+
+
+OP6_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[p:p + 4], ' ') end as sh
+  from (select doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) as p from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+inter as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+link as (
+  select x, y from inter join n nx on nx.doc_id = x join n ny on ny.doc_id = y
+  where 100 * i >= 85 * (nx.n + ny.n - i)),
+both_ways as (select x, y from link union all select y, x from link),
+reach as (select doc_id as a, doc_id as b from n union select r.a, l.y from reach r join both_ways l on r.b = l.x),
+comp as (select a as doc_id, min(b) as c from reach group by a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(comp.c, d.doc_id) as component_id, coalesce(comp.c, d.doc_id) = d.doc_id as kept
+from documents d left join n using (doc_id) left join comp using (doc_id)
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents", ["doc_id", "text"]), byte_bpe_path())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -129,7 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
+    "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
     "op9_chat_formatting": op9_chat_formatting,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_chat_formatting": OP9_SQL}
