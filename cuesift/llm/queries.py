@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, line_dedup, minhash, packing, sharding, token_counts
+from . import chat, decontam, html_extract, langid, line_dedup, minhash, packing, sharding, token_counts, topk
 from .common import pick, scratch
 
 
@@ -120,6 +120,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one hostile one, formatted and read back from the output."""
     rows = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
@@ -146,6 +151,23 @@ select conv_id, count(*)::bigint as n_turns,
 from e group by conv_id
 """
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every row whose id is divisible by 100, against all rows."""
+    rows = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return topk.search(topk.build_index(rows), rows.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+OP10_SQL = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e))
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -154,6 +176,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_chat_formatting": OP9_SQL, "op10_topk": OP10_SQL}
