@@ -24,7 +24,7 @@ from .tokens import byte_bpe
 
 LENGTH, EOD = 1024, 0
 DIMS, BITS, BUCKETS = 4, 10, 4096
-ENCODED = "struct<n: long, curve: long, ids: binary>"
+ENCODED = "struct<curve: long, ids: binary>"
 PIECES = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -59,28 +59,27 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_key(ids: np.ndarray, plane: np.ndarray, bits: int = BITS) -> int:
-    """The Hilbert key of a document's hashed, normalised and projected vector; an empty one lies at the middle."""
+def cell(ids: np.ndarray, plane: np.ndarray, bits: int = BITS) -> list[int]:
+    """The cell of a document's hashed, normalised and projected vector; an empty one lies in the middle."""
     hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - int(len(plane) - 1).bit_length())
     vector = np.bincount(hashed.astype(np.int64), minlength=len(plane)).astype(float)
-    at = vector @ plane / max(1.0, math.sqrt(float(vector @ vector)))
-    cells = [min((1 << bits) - 1, int((1 << bits) * 0.5 * (1 + math.erf(a / math.sqrt(2))))) for a in at]
-    return int(hilbert_keys(np.array([cells]), bits)[0])
+    norm = max(1.0, math.sqrt(float(vector @ vector)))
+    return [min((1 << bits) - 1, int((1 << bits) * 0.5 * (1 + math.erf(a / norm / math.sqrt(2))))) for a in (vector @ plane).tolist()]
 
 
 def encoder(path: str, eod: int) -> object:
-    """A column function: text to its ids (with the end mark, packed as 16 or 32 bits), their number and curve key."""
+    """A column function: text to its curve key and ids (with the end mark, packed as 16 or 32 bits)."""
 
     @arrow_udf(ENCODED)
     def encode(texts: pa.Array) -> pa.Array:
-        t, plane, out = byte_bpe(path), projection(), []
+        t, plane, cells, packed = byte_bpe(path), projection(), [], []
         for x in texts:
             ids = np.frombuffer(t.encode(x.as_py()), np.uint32)
-            small = not len(ids) or ids.max() < 1 << 16
-            key = curve_key(ids, plane)
+            cells.append(cell(ids, plane))
             ids = np.append(ids, np.uint32(eod))
-            out.append({"n": len(ids), "curve": key, "ids": (b"\2" + ids.astype("<u2").tobytes()) if small else (b"\4" + ids.astype("<u4").tobytes())})
-        return pa.array(out, pa.struct([("n", pa.int64()), ("curve", pa.int64()), ("ids", pa.binary())]))
+            packed.append(b"\2" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\4" + ids.astype("<u4").tobytes())
+        keys = hilbert_keys(np.array(cells, np.int64).reshape(len(cells), plane.shape[1]))
+        return pa.StructArray.from_arrays([pa.array(keys), pa.array(packed, pa.binary())], names=["curve", "ids"])
 
     return encode
 
