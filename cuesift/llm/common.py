@@ -1,13 +1,14 @@
-"""Helpers that the training-data operators share: column picking, scratch tables, word patterns."""
+"""Helpers that the training-data operators share: column picking, names, lower case."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import drop_scratch, scratch, shared_dir, written
+
+__all__ = ["ascii_lower", "drop_scratch", "numbered", "pick", "scratch", "shared_dir", "unclashed", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 
@@ -30,43 +31,17 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def unclashed(own: list[str], added: list[str]) -> list[str]:
     """Names for input columns beside the columns an operator adds: a clashing input gets '_in' behind it."""
-    taken, out = {x.lower() for x in added}, []
+    taken, others = {x.lower() for x in added}, {x.lower() for x in own}
+    out = []
     for name in own:
-        while name.lower() in taken:
+        if name.lower() in taken:
             name += "_in"
-        taken.add(name.lower())
+            while name.lower() in taken | others:
+                name += "_in"
         out.append(name)
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="cuesift-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/cuesift/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again with its own schema."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes this application's scratch tables; frames that still read them can't be used after it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cuesift/{spark.sparkContext.applicationId}")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; pure ASCII takes the fast way."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

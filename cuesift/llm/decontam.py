@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import numbered, pick, unclashed
-from .words import ALNUM, column_bytes, gram_hashes, word_hashes
+from .words import ALNUM, column_bytes, gram_hashes, release, word_hashes
 
 WINDOW, GRAM = 10, 5
 BLOCK_BYTES = 16 << 20
@@ -133,7 +133,7 @@ def find(texts: pa.Array, index: Index) -> list[dict]:
     return rows
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[pa.Array]:
     """The column in pieces of about so many bytes; one text is never cut."""
     _, bounds = column_bytes(texts)
     i = 0
@@ -182,6 +182,7 @@ def mark_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", i
         for piece in slices(texts):
             per_block = [find(piece, b.value) for b in indexes]
             out += per_block[0] if len(per_block) == 1 else [merged(x) for x in zip(*per_block)]
+        release()
         return pa.array(out, _result_type())
 
     marked = rows.withColumn("scan", scan(F.coalesce(F.col(body), F.lit(""))))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import numbered, unclashed
+from .words import release
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -225,6 +226,8 @@ def extract(df: DataFrame, html_column: str = "html") -> DataFrame:
 
     @arrow_udf("string")
     def texts(pages: pa.Array) -> pa.Array:
-        return pa.array([main_text(x.as_py()) for x in pages], pa.string())
+        out = pa.array([main_text(x.as_py()) for x in pages], pa.string())
+        release()
+        return out
 
     return rows.withColumn("main_text", texts(F.col(f"in_{own.index(html_column)}"))).toDF(*unclashed(own, ["main_text"]), "main_text")

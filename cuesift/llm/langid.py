@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import pick
-from .words import column_bytes
+from .words import column_bytes, release
 
 ORDER = 3
 #: Bounds of the training sample: about so many rows a language, none longer than so many bytes, and so many languages.
@@ -30,7 +30,9 @@ SAMPLE_ROWS, SAMPLE_TEXT_BYTES, MAX_LANGUAGES = 400, 1 << 16, 64
 LEAST = 2
 RESULT = "struct<lang: string, score: double, bits_per_byte: double>"
 UNKNOWN = "und"
-STEP = 1 << 20
+STEP = 1 << 18
+#: So many contexts' tables are worked out at a time.
+NODES = 1024
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -85,46 +87,46 @@ class Model:
         w, n = self.width, self.level[-1]
         child = np.full(n * w, -1, np.int32)
         cost = np.empty((n * w, len(self.languages)), np.float32)
-        before: list[tuple[np.ndarray, np.ndarray]] = []
-        for depth in range(self.order + 1):
-            base, end = self.level[depth], self.level[depth + 1]
-            if depth:
-                child[self.keys[depth - 1]] = np.arange(base, end)
-            counts = _dense(self.counts[depth])
-            above = self.keys[depth - 1] // w - self.level[depth - 1] if depth else None
-            now = []
-            for i in range(len(self.languages)):
-                c = counts[i].astype(np.float64)
-                if depth == 0:
-                    unseen = c == 0
-                    lower = np.where(unseen, 1 / np.maximum(256 - (~unseen).sum(1, keepdims=True), 1), 0.0)
-                else:
-                    up, rest_of = before[i][0][above], before[i][1][above]
-                    rest = np.where(c > 0, 0, up)
-                    total, kinds = rest.sum(1, keepdims=True), (rest > 0).sum(1, keepdims=True)
+        for depth in range(1, self.order + 1):
+            child[self.keys[depth - 1]] = np.arange(self.level[depth], self.level[depth + 1])
+        for i in range(len(self.languages)):
+            above = None  # the counts one level up, and the shares of unseen bytes there
+            for depth in range(self.order + 1):
+                base, end = self.level[depth], self.level[depth + 1]
+                counts = _dense(self.counts[depth], i)
+                lower = np.empty((end - base, w), np.float64) if depth < self.order else None
+                for a in range(0, end - base, NODES):
+                    c = counts[a : a + NODES].astype(np.float64)
+                    if above is None:
+                        share = np.where(c == 0, 1 / np.maximum(256 - (c > 0).sum(1, keepdims=True), 1), 0.0)
+                    else:
+                        up = self.keys[depth - 1][a : a + NODES] // w - self.level[depth - 1]
+                        rest = np.where(c > 0, 0, above[0][up])
+                        kinds = (rest > 0).sum(1, keepdims=True)
+                        below = np.maximum(rest.sum(1, keepdims=True) + kinds, 1)
+                        share = np.where(rest > 0, rest / below, np.where(kinds > 0, kinds / below, 1.0) * above[1][up])
+                    total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
                     below = np.maximum(total + kinds, 1)
-                    escape = np.where(kinds > 0, kinds / below, 1.0)
-                    lower = np.where(rest > 0, rest / below, escape * rest_of)
-                total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                below = np.maximum(total + kinds, 1)
-                escape = np.where(total > 0, kinds / below, 1.0)
-                p = np.where(c > 0, c / below, escape * lower)
-                # A byte unseen by this language may be one symbol's share of what is left; never nothing.
-                cost[base * w : end * w, i] = -np.log2(np.maximum(p, 2.0**-40)).reshape(-1)
-                now.append((c, lower))
-            before = now
+                    p = np.where(c > 0, c / below, np.where(total > 0, kinds / below, 1.0) * share)
+                    at = (base + a) * w
+                    cost[at : at + p.size, i] = -np.log2(np.maximum(p, 2.0**-40)).reshape(-1)
+                    if lower is not None:
+                        lower[a : a + NODES] = share
+                above = counts, lower
         return child, cost
 
 
 def _sparse(table: np.ndarray) -> tuple:
-    flat = table.reshape(-1)
-    at = np.flatnonzero(flat)
-    return table.shape, at.astype(np.int32), flat[at]
+    """The shape of one language's table, and for each language the places and values of its counts."""
+    flat = [x.reshape(-1) for x in table]
+    at = [np.flatnonzero(f) for f in flat]
+    return table.shape[1:], [(x.astype(np.int32), f[x]) for x, f in zip(at, flat)]
 
 
-def _dense(kept: tuple) -> np.ndarray:
+def _dense(kept: tuple, language: int) -> np.ndarray:
     out = np.zeros(int(np.prod(kept[0])), np.float32)
-    out[kept[1]] = kept[2]
+    at, values = kept[1][language]
+    out[at] = values
     return out.reshape(kept[0])
 
 
@@ -189,7 +191,9 @@ def predictor(model: Broadcast) -> object:
     @arrow_udf(RESULT)
     def identify(texts: pa.Array) -> pa.Array:
         kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
-        return pa.array(predict(model.value, texts.fill_null("")), kind)
+        out = pa.array(predict(model.value, texts.fill_null("")), kind)
+        release()
+        return out
 
     return identify
 

@@ -28,7 +28,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import pick, written
 from .decontam import slices
-from .words import NON_BLANK, column_bytes, gram_hashes, mix, word_hashes
+from .words import NON_BLANK, column_bytes, gram_hashes, mix, release, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 32, 5
 #: A block holds about so many texts, and shingles, at most.
@@ -91,6 +91,8 @@ def sketch(texts: pa.Array) -> pa.Array:
     some = np.array(n, np.int64) > 0
     ends = np.r_[0, np.cumsum(some * keys.shape[1])].astype(np.int32)
     bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1)))
+    del signatures, keys
+    release()
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), bands], names=["n", "fa", "fb", "bands"])
 
 
@@ -151,7 +153,8 @@ def confirmed(units: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             id_type = batch.schema.field("id").type
-            for unit, doc, side, group, text in zip(*[c.to_pylist() for c in batch.columns]):
+            for values in zip(*batch.columns):
+                unit, doc, side, group, text = (v.as_py() for v in values)
                 if unit != now:
                     if (out := close()) is not None:
                         yield out
@@ -159,6 +162,8 @@ def confirmed(units: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 held.append((doc, text, side, group))
         if held and (out := close()) is not None:
             yield out
+        held.clear()
+        release()
 
     return rows.mapInArrow(work, f"a {kind}, b {kind}")
 

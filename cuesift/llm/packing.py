@@ -21,6 +21,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import pick, written
 from .tokens import byte_bpe
+from .words import release
 
 LENGTH, EOD = 1024, 0
 DIMS, BITS, BUCKETS = 4, 10, 4096
@@ -79,7 +80,10 @@ def encoder(path: str, eod: int) -> object:
             ids = np.append(ids, np.uint32(eod))
             packed.append(b"\2" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\4" + ids.astype("<u4").tobytes())
         keys = hilbert_keys(np.array(cells, np.int64).reshape(len(cells), plane.shape[1]))
-        return pa.StructArray.from_arrays([pa.array(keys), pa.array(packed, pa.binary())], names=["curve", "ids"])
+        out = pa.StructArray.from_arrays([pa.array(keys), pa.array(packed, pa.binary())], names=["curve", "ids"])
+        del packed
+        release()
+        return out
 
     return encode
 
@@ -153,8 +157,7 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
 
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
-            docs = batch.column("doc_id").to_pylist()
-            for doc, ids in zip(docs, batch.column("ids")):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 raw = ids.as_buffer()
                 wide = raw[0] == 4
                 packer.add(doc, np.frombuffer(raw, "<u4" if wide else "<u2", offset=1))
@@ -163,5 +166,6 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
         packer.end()
         if packer.out:
             yield flush()
+        release()
 
     return ranged.select("doc_id", "ids").mapInArrow(cut, PIECES.format(kind.simpleString()))

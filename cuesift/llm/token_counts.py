@@ -16,6 +16,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import pick, scratch
 from .tokens import byte_bpe
+from .words import release
 
 MEASURES = ("n_docs", "n_tokens", "n_bytes")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
@@ -28,7 +29,9 @@ def token_counter(path: str) -> object:
     @arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
         t = byte_bpe(path)
-        return pa.array([len(t.encode(x.as_py())) if x.is_valid else 0 for x in texts], pa.int64())
+        out = pa.array([len(t.encode(x.as_py())) if x.is_valid else 0 for x in texts], pa.int64())
+        release()
+        return out
 
     return count
 

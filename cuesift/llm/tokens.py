@@ -19,12 +19,21 @@ class ByteBpe:
     """A tokenizers file of a byte-level BPE; plain texts go through the faster library with the same ranks."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        self.path, self._slow = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.fast = _same_ranks(path, spec)
 
-        self.slow = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = _same_ranks(path)
+    @property
+    def slow(self) -> object:
+        """The file's own library, loaded when a text asks for it."""
+        if self._slow is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
 
     def encode(self, text: str) -> array:
         """The ids without added special tokens, as unsigned 32-bit."""
@@ -37,12 +46,10 @@ class ByteBpe:
         return array("I", self.slow.encode(text, add_special_tokens=False).ids)
 
 
-def _same_ranks(path: str) -> object | None:
+def _same_ranks(path: str, spec: dict) -> object | None:
     """The faster library's encoder, if the file is a plain byte-level BPE whose ids are ranks; else None."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     model, split = spec["model"], spec.get("pre_tokenizer") or {}
     if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or split.get("use_regex", True) is False:
         return None
