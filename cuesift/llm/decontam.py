@@ -5,9 +5,11 @@ texts that share 10 words share a fingerprint. Documents' fingerprints are joine
 benchmark's, and each hit is extended: the whole window is compared, and overlapping windows form
 one span. Items of fewer words than a window are one window of their own length.
 
-The benchmark is the stated query set: its index goes to the workers in blocks of bounded size,
-one after the other over the same rows, so documents are neither shuffled nor gathered. Runs of
-words are compared by 64-bit hashes of each word and run.
+The benchmark is the stated query set: its index goes to the workers in blocks of bounded size. Up
+to PASS_BLOCKS of them are scanned over the rows in place, so documents are neither shuffled nor
+gathered. A larger benchmark takes several passes, each with as many blocks as that; their findings (only
+of texts with hits) are kept in the shared folder and joined back by 128 bits of the text. Runs
+of words are compared by 64-bit hashes of each word and run.
 """
 
 from __future__ import annotations
@@ -16,15 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import numbered, pick, unclashed
+from .common import numbered, pick, unclashed, written
 from .words import ALNUM, column_bytes, gram_hashes, release, word_hashes
 
 WINDOW, GRAM = 10, 5
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text a block, and blocks that a worker holds at a time.
+BLOCK_BYTES, PASS_BLOCKS = 16 << 20, 4
 GRAM_FACTOR, WINDOW_FACTOR = 0x8F1BBCDC6ED9EBA1, 0xB5026F5AA96619E9
 _LEAST = 1 << 13
 RESULT = "struct<n_words: long, starts: array<int>, ends: array<int>, items: array<string>>"
@@ -162,19 +165,8 @@ def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[tu
         yield ids, texts
 
 
-def mark_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """df with n_words, hit_spans (word positions: start, end), item_ids (strings, sorted) and contaminated.
-
-    Words are runs of ASCII letters and digits and of anything beyond ASCII, without case of A-Z. A
-    null or empty text has no words and is clean; so is any text where the benchmark is empty. An
-    item without words is in no document; a null item id counts as 'null'; repeated items are one.
-    Repeated rows are each marked. Input columns named like an added one come out as <name>_in.
-    The benchmark's blocks pass one after the other over the rows of each Arrow batch.
-    """
-    spark = df.sparkSession
-    rows, own = numbered(df)
-    body = f"in_{own.index(text)}"
-    indexes = [spark.sparkContext.broadcast(Index(i, t)) for i, t in blocks(benchmark, item, item_text, block_bytes)] or [spark.sparkContext.broadcast(Index([], []))]
+def scanner(indexes: list) -> object:
+    """Several broadcast blocks as one column function of the text."""
 
     @arrow_udf(RESULT)
     def scan(texts: pa.Array) -> pa.Array:
@@ -185,12 +177,62 @@ def mark_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", i
         release()
         return pa.array(out, _result_type())
 
-    marked = rows.withColumn("scan", scan(F.coalesce(F.col(body), F.lit(""))))
+    return scan
+
+
+def mark_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
+    """df with n_words, hit_spans (word positions: start, end), item_ids (strings, sorted) and contaminated.
+
+    Words are runs of ASCII letters and digits and of anything beyond ASCII, without case of A-Z. A
+    null or empty text has no words and is clean; so is any text where the benchmark is empty. An
+    item without words is in no document; a null item id counts as 'null'; repeated items are one.
+    Repeated rows are each marked. Input columns named like an added one come out as <name>_in.
+    """
+    context = df.sparkSession.sparkContext
+    rows, own = numbered(df)
+    body = F.coalesce(F.col(f"in_{own.index(text)}"), F.lit(""))
+    held, later = [], []
+    for ids, texts in blocks(benchmark, item, item_text, block_bytes):
+        held.append(context.broadcast(Index(ids, texts)))
+        if len(held) == pass_blocks:
+            later.append(held)
+            held = []
+    passes = later + [held] * bool(held) or [[context.broadcast(Index([], []))]]
+    marked = rows.withColumn("scan", scanner(passes[0])(body))
+    if len(passes) > 1:
+        name = lambda t: [F.xxhash64(t).alias("ta"), F.xxhash64(F.lit(1), t).alias("tb")]
+        found = []
+        for k, indexes in enumerate(passes[1:]):
+            hits = rows.select(*name(body), scanner(indexes)(body).alias("scan")).filter(F.size("scan.starts") > 0).dropDuplicates(["ta", "tb"])
+            found.append(written(hits, f"hits{k}"))
+            for b in indexes:
+                b.unpersist()
+        more = found[0]
+        for f in found[1:]:
+            more = more.unionByName(f)
+        more = more.groupBy("ta", "tb").agg(F.collect_list("scan").alias("more"))
+        marked = marked.withColumns(dict(zip(("ta", "tb"), name(body)))).join(more, ["ta", "tb"], "left").withColumn("scan", _joined(F.col("scan"), F.coalesce("more", F.array().cast(f"array<{RESULT}>"))))
     added = ["n_words", "hit_spans", "item_ids", "contaminated"]
     spans = F.arrays_zip(F.col("scan.starts").alias("start"), F.col("scan.ends").alias("end"))
     return marked.select(*rows.columns, F.col("scan.n_words"), spans, F.col("scan.items"), F.size("scan.starts") > 0).toDF(*unclashed(own, added), *added)
 
 
+def _joined(first: Column, more: Column) -> Column:
+    """The findings of several passes over one text as one."""
+    every = F.concat(F.array(first), more)
+    spans = F.array_sort(F.flatten(F.transform(every, lambda s: F.arrays_zip(s["starts"].alias("s"), s["ends"].alias("e")))))
+    pair = "array<struct<s: int, e: int>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        wider = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when((F.size(acc) > 0) & (x["s"] <= last["e"]), wider).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+
+    whole = F.aggregate(spans, F.array().cast(pair), step)
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform(every, lambda s: s["items"]))))
+    return F.struct(first["n_words"].alias("n_words"), whole["s"].alias("starts"), whole["e"].alias("ends"), items.alias("items"))
+
+
 def merged(found: tuple[dict, ...]) -> dict:
     """One text's findings from several blocks."""
     spans = sorted((s, e) for x in found for s, e in zip(x["starts"], x["ends"]))

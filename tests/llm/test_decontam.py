@@ -43,8 +43,8 @@ def test_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "clash", True) for i, t in enumerate(texts)], "doc_id long, text string, Text string, contaminated boolean").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = slow(texts, items)
-    for block in (decontam.BLOCK_BYTES, 300):
-        out = decontam.mark_contaminated(docs, bench, block_bytes=block)
+    for block, blocks in ((decontam.BLOCK_BYTES, 4), (300, 100), (300, 2), (600, 1)):
+        out = decontam.mark_contaminated(docs, bench, block_bytes=block, pass_blocks=blocks)
         assert "contaminated_in" in out.columns
         for r in out.collect():
             n, hit, found = want[r[0]]
