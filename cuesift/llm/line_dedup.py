@@ -9,30 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, numbered, pick, unclashed
+from .common import BLANKS, ascii_lower, numbered, pick, unclashed, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at its ends, A-Z in lower case."""
-    return ascii_lower(F.trim(line, F.lit(BLANKS)))
+def key_hashes(lines: Column, min_chars: int) -> Column:
+    """For each line 128 bits of its key: the line without blanks at its ends, A-Z in lower case.
 
-
-def key_hash(line: Column, min_chars: int) -> Column:
-    """128 bits of the key; null for keys shorter than min_chars code points."""
-    trimmed = F.trim(line, F.lit(BLANKS))
-    key = ascii_lower(trimmed)
-    return F.when(F.length(trimmed) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b")))
+    Null for keys of fewer code points than min_chars. One step an array, so nothing is worked out
+    twice for a line.
+    """
+    trimmed = F.transform(lines, lambda x: F.trim(x, F.lit(BLANKS)))
+    keys = F.transform(trimmed, lambda t: F.when(F.length(t) >= min_chars, ascii_lower(t)))
+    return F.transform(keys, lambda k: F.when(k.isNotNull(), F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(7), k).alias("b"))))
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """df with text without its repeated lines, and n_lines, n_dropped.
 
     Keys of at least min_chars code points that occur in at least min_docs documents stay only in the
-    document with the largest id. Only hashes are shuffled for the count (combined before the
-    shuffle, so a hot line is one row a task), and the lists of dropped hashes come back to the texts
-    by document id; no line's documents are ever gathered in one place.
+    document with the largest id. Hashes are written once to the shared folder and counted there
+    (combined before the shuffle, so a hot line is one row a task; its documents' rows in the join
+    behind it are split as any skewed side of a join is), and the lists of dropped hashes come back to the texts by
+    document id; no line's documents are ever gathered in one place.
 
     A null or empty text is one empty line and comes out as ''. Null ids count as one document below
     all others. Rows that repeat an id are one document: they count once and lose the same lines. An
@@ -41,15 +41,16 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
     """
     two = pick(df, [key, text]).toDF("id", "text")
     lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n", -1)
-    hashes = F.array_distinct(F.filter(F.transform(lines(F.col("text")), lambda x: key_hash(x, min_chars)), lambda h: h.isNotNull()))
-    held = two.select("id", F.explode(hashes).alias("h"))
+    hashes = F.array_distinct(F.filter(key_hashes(lines(F.col("text")), min_chars), lambda h: h.isNotNull()))
+    held = written(two.select("id", F.explode(hashes).alias("h")), "lines")
     counted = held.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
     drops = held.join(counted, "h").filter(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("h").alias("gone"))
     rows, own = numbered(df)
     id_, body = F.col(f"in_{own.index(key)}"), f"in_{own.index(text)}"
     joined = rows.join(drops, id_.eqNullSafe(drops["id"]), "left").withColumn("all", lines(F.col(body)))
-    kept = F.when(F.col("gone").isNull(), F.col("all")).otherwise(F.filter("all", lambda x: ~F.coalesce(F.array_contains(F.col("gone"), key_hash(x, min_chars)), F.lit(False))))
-    joined = joined.withColumn("kept", kept)
+    marked = F.arrays_zip(F.col("all").alias("line"), key_hashes(F.col("all"), min_chars).alias("h"))
+    stay = F.filter(marked, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), x["h"]), F.lit(False)))
+    joined = joined.withColumn("kept", F.when(F.col("gone").isNull(), F.col("all")).otherwise(stay["line"]))
     out = [F.array_join("kept", "\n").alias(c) if c == body else F.col(c) for c in rows.columns]
     added = ["n_lines", "n_dropped"]
     return joined.select(*out, F.size("all").cast("long").alias("n_lines"), (F.size("all") - F.size("kept")).cast("long").alias("n_dropped")).toDF(*unclashed(own, added), *added)
