@@ -9,9 +9,10 @@ import struct
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BUCKETS = 64
-META = "model string, dim int, buckets int"
+META = "model string, dim int, buckets int, schema string"
 
 
 def _bucket(buckets: int) -> object:
@@ -33,7 +34,7 @@ def write_index(df: DataFrame, path: str, model: str, dim: int, buckets: int = B
     rows = df.withColumn("embedding", checked).withColumn("bucket", _bucket(buckets))
     rows.repartition("bucket", F.pmod(F.xxhash64("chunk_idx"), F.lit(8))).write.mode(mode).partitionBy("bucket").parquet(f"{path}/rows")
     if mode != "append":
-        spark.createDataFrame([(model, dim, buckets)], META).coalesce(1).write.mode("overwrite").json(f"{path}/about")
+        spark.createDataFrame([(model, dim, buckets, rows.schema.json())], META).coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
 
 def index_meta(spark: SparkSession, path: str) -> dict:
@@ -45,15 +46,21 @@ def read_index(spark: SparkSession, path: str, model: str | None = None) -> Data
     known = index_meta(spark, path)
     if model is not None and known["model"] != model:
         raise ValueError(f"the index was built with {known['model']}, not {model}")
-    return spark.read.parquet(f"{path}/rows").drop("bucket")
+    return _rows(spark, path, known).drop("bucket")
+
+
+def _rows(spark: SparkSession, path: str, known: dict) -> DataFrame:
+    """The rows with their bucket, by the stored schema: an index may hold none yet."""
+    return spark.read.schema(StructType.fromJson(json.loads(known["schema"]))).parquet(f"{path}/rows")
 
 
 def of_videos(index: DataFrame | SparkSession, path: str, vod_ids: list[str]) -> DataFrame:
     """The rows of some videos: only their buckets are read."""
     spark = index if isinstance(index, SparkSession) else index.sparkSession
-    buckets = index_meta(spark, path)["buckets"]
+    known = index_meta(spark, path)
+    buckets = known["buckets"]
     asked = spark.createDataFrame([(v,) for v in vod_ids], "vod_id string").select(_bucket(buckets)).distinct().collect()
-    return spark.read.parquet(f"{path}/rows").filter(F.col("bucket").isin([r[0] for r in asked]) & F.col("vod_id").isin(vod_ids)).drop("bucket")
+    return _rows(spark, path, known).filter(F.col("bucket").isin([r[0] for r in asked]) & F.col("vod_id").isin(vod_ids)).drop("bucket")
 
 
 def missing_videos(chunks: DataFrame, index: DataFrame) -> DataFrame:

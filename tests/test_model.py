@@ -161,3 +161,22 @@ def test_embed_keeps_rows(spark, tmp_path):
     out = {r["i"]: r["embedding"] for r in embed(df, WordPiece(VOCAB), path, TOY, batch=3).collect()}
     model = Encoder(toy_weights(TOY, len(VOCAB)), TOY)
     assert len(out) == 21 and np.allclose(out[5], model.embed([WordPiece(VOCAB).encode("hello " * 5)])[0], atol=1e-5)
+
+
+def test_stream(spark, tmp_path):
+    from cuesift.streaming.ingest import ingest_stream
+
+    weights = str(tmp_path / "w.safetensors")
+    safetensors.write(weights, toy_weights(TOY, len(VOCAB)))
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.vtt").write_text(FILE)
+    (tmp_path / "lists").mkdir()
+    path = str(tmp_path / "ix")
+    empty = spark.createDataFrame([], "chunk_idx long, vod_id string, text string, start double, end double, embedding array<float>")
+    index.write_index(empty, path, "toy", TOY.hidden, buckets=2)
+    for turn, names in enumerate((["a"], ["a", "b"], ["c"])):
+        (tmp_path / "lists" / f"{turn}.txt").write_text("".join(f"{tmp_path}/{n}.vtt\n" for n in names))
+        paths = spark.readStream.text(str(tmp_path / "lists")).withColumnRenamed("value", "path")
+        ingest_stream(paths, path, str(tmp_path / "checkpoint"), WordPiece(VOCAB), weights, TOY, "toy").awaitTermination(60)
+    rows = index.read_index(spark, path, "toy").collect()
+    assert sorted(r["vod_id"] for r in rows) == ["a"] * 4 + ["b"] * 4 + ["c"] * 4 and len({r["chunk_idx"] for r in rows}) == 12
