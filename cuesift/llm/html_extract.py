@@ -28,7 +28,7 @@ JUNK = frozenset("head script style title noscript template nav footer aside for
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
 JUNK_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsors sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup comment comments disqus reply replies respond discussion sidebar aside widget widgets related recommended recommendations outbrain taboola "
+    "topnav sidenav subnav mainnav submenu copyright newsletter subscribe subscription signup comment comments disqus reply replies respond discussion sidebar aside widget widgets related recommended recommendations outbrain taboola "
     "share sharing social breadcrumb breadcrumbs menu nav navbar navigation topbar footer header masthead pagination pager toolbar login search skip hidden paywall".split()
 )
 GOOD_NAMES = frozenset("article body content entry main post story text blog".split())
@@ -39,6 +39,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 KEEPS_LI = frozenset("ul ol menu dir dl table".split())
 CLOSES_P = BLOCK - frozenset("html body caption legend option tbody td tfoot th thead tr select frameset summary".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SIBLING_SHARE, DEPTH = 0.2, 5
 
 
@@ -138,7 +139,7 @@ class Page:
         if name in HEADINGS or name in ("a", "p", "span", "b", "i", "em", "strong"):
             names = set(found.get("class", "").lower().split())  # whole class names only, for elements of text
         else:
-            names = set(_SPLIT.split((found.get("class", "") + " " + found.get("id", "")).lower()))
+            names = set(_SPLIT.split(_HUMP.sub(" ", found.get("class", "") + " " + found.get("id", "")).lower()))
         if names & JUNK_NAMES:
             return True, 0
         return False, 25 if names & GOOD_NAMES else 0

@@ -9,7 +9,7 @@ queries, and the few rows of all tasks are ranked at the end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,21 @@ def product(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([min(max(sum(int(a) * b for a, b in zip(r, q)), -(1 << 63)), (1 << 63) - 1) for r in rows], np.int64)
 
 
+def packed(v: np.ndarray) -> bytes:
+    """An integer vector in the fewest bytes a component, behind one byte that says how many (8: as doubles)."""
+    top = float(np.abs(v).max(initial=0))
+    kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<f8"
+    return kind[-1].encode() + v.astype(kind).tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """Packed vectors of one length as the rows of a matrix."""
+    kinds = {r[0] for r in rows}
+    if len(kinds) == 1:
+        return np.frombuffer(b"".join(r[1:] for r in rows), f"<{'f' if kinds == {56} else 'i'}{chr(*kinds)}").reshape(len(rows), -1).astype(np.float64)
+    return np.stack([unpacked([r])[0] for r in rows])
+
+
 def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The file of cells and exact vectors, written to the shared folder: vec_id, dims, width, cells, exact.
 
@@ -70,7 +85,7 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -
                 pa.array([len(v) for v in vectors], pa.int32()),
                 pa.array([width] * len(vectors), pa.float64()),
                 pa.array([np.floor(v / width).astype(np.int8).tobytes() for v in vectors], pa.binary()),
-                pa.array([v.astype("<f8").tobytes() for v in vectors], pa.binary()),
+                pa.array([packed(v) for v in vectors], pa.binary()),
             ]
             yield pa.record_batch(columns, names=["vec_id", "dims", "width", "cells", "exact"])
 
@@ -93,8 +108,8 @@ class Best:
         order = np.lexsort((rows, ~scores))[: self.k]  # ~x falls as x rises, without overflow
         self.row[q], self.score[q] = rows[order], scores[order]
 
-    def scan(self, which: list[int], ids: np.ndarray, cells: np.ndarray, exact: np.ndarray, width: float) -> None:
-        """One batch of rows of the queries' own dimension."""
+    def scan(self, which: list[int], ids: np.ndarray, cells: np.ndarray, exact: Callable[[np.ndarray], np.ndarray], width: float) -> None:
+        """One batch of rows of the queries' own dimension. exact reads the vectors at some places of the batch."""
         stack = np.stack([self.queries[q] for q in which])
         cell_scores = (cells.astype(np.float64) @ stack.T) * width
         high = np.maximum(stack, 0).sum(1) * (width - 1)
@@ -113,7 +128,7 @@ class Best:
                     break
                 some = some[bound[some] > -np.inf]
                 self.read += len(some)
-                self.add(q, ids[some], product(exact[some], stack[n]))
+                self.add(q, ids[some], product(exact(some), stack[n]))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
@@ -143,8 +158,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
                     at = np.flatnonzero((dims == d) & (widths == w))
                     if which and len(at):
                         c = np.frombuffer(b"".join(cells[int(i)].as_py() for i in at), np.int8).reshape(len(at), d)
-                        e = np.frombuffer(b"".join(exact[int(i)].as_py() for i in at), "<f8").reshape(len(at), d)
-                        best.scan(which, rows[at], c, e, w)
+                        best.scan(which, rows[at], c, lambda some, at=at: unpacked([exact[int(i)].as_py() for i in at[some]]), w)
             found = [q for q in range(len(best.queries)) if len(best.row[q])]
             if found:
                 sizes = [len(best.row[q]) for q in found]

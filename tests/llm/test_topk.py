@@ -61,6 +61,6 @@ def test_bounds_save_reading():
     rows = np.floor(1024 * rng.standard_normal((5000, 64)) / 8)
     best = topk.Best([-1], [rows[0]], 10)
     width = 2.0 ** int(np.ceil(np.log2(np.abs(rows).max() / 127)))
-    best.scan([0], np.arange(5000), np.floor(rows / width).astype(np.int8), rows, width)
+    best.scan([0], np.arange(5000), np.floor(rows / width).astype(np.int8), lambda some: rows[some], width)
     scores = (rows @ rows[0]).astype(int)
     assert best.score[0].tolist() == sorted(scores, reverse=True)[:10] and best.read < 1000
