@@ -186,7 +186,10 @@ def predict(model: Model, texts: pa.Array) -> list[dict]:
 
 
 def predictor(model: Broadcast) -> object:
-    """The model as a column function: text to struct<lang, score, bits_per_byte>."""
+    """The model as a column function: text to struct<lang, score, bits_per_byte>.
+
+    It is declared non-deterministic only so that a filter on its result doesn't run it a second time.
+    """
 
     @arrow_udf(RESULT)
     def identify(texts: pa.Array) -> pa.Array:
@@ -195,7 +198,7 @@ def predictor(model: Broadcast) -> object:
         release()
         return out
 
-    return identify
+    return identify.asNondeterministic()
 
 
 def held_out(key: Column) -> Column:
