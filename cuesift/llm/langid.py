@@ -10,11 +10,11 @@ all languages side by side, and scoring a text is a walk down the tree and a loo
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +26,14 @@ from .words import column_bytes, release
 ORDER = 3
 #: Bounds of the training sample: about so many rows a language, none longer than so many bytes, and so many languages.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES, MAX_LANGUAGES = 400, 1 << 16, 64
-#: A context is kept if it was seen so often.
-LEAST = 2
+#: A context is kept if it was seen so often, and, the most frequent first, while the table of code lengths has at most so many entries.
+LEAST, CELLS = 2, 1 << 24
 RESULT = "struct<lang: string, score: double, bits_per_byte: double>"
 UNKNOWN = "und"
 STEP = 1 << 18
 #: So many contexts' tables are worked out at a time.
 NODES = 1024
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Model:
@@ -59,8 +59,10 @@ class Model:
                 known = [np.concatenate([n[depth:] * w + s[:-depth] for n, s in zip(state[k], streams[k]) if len(s) > depth] or [np.zeros(0, np.int64)]) for k in self.languages]
                 every = np.concatenate([x[x >= 0] for x in known] or [np.zeros(0, np.int64)])
                 keys, times = np.unique(every, return_counts=True)
-                keys = keys[times >= least]
                 base = self.level[-1]
+                room = max(0, CELLS // (w * len(self.languages) or 1) - base)
+                often = np.lexsort((keys, -times))[:room]
+                keys = np.sort(keys[often][times[often] >= least])
                 self.keys.append(keys)
                 self.level.append(base + len(keys))
                 for k in self.languages:

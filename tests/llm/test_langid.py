@@ -91,3 +91,18 @@ def test_held_out_accuracy(spark):
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     held = [r for r in queries.op5_language_id(spark, sf).collect() if r["held_out"] and lang[r["doc_id"]]]
     assert len(held) > 150 and sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.98 * len(held)
+
+
+def test_tables_are_bounded(monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", 600)
+    model = langid.Model(SAMPLES, 3, least=1)
+    assert model.level[-1] * model.width * 2 <= 600
+    child, cost = model.tables()
+    p = 2.0 ** -cost.reshape(-1, model.width, 2).astype(float)
+    weight = np.r_[np.ones(model.width - 1), 256 - (model.width - 1)]
+    assert np.allclose((p * weight[None, :, None]).sum(1), 1, atol=1e-5)
+
+
+def test_numbers_and_marks_are_no_letters():
+    model = langid.Model(SAMPLES)
+    assert [r["lang"] == "und" for r in langid.predict(model, pa.array(["²³ 12 _ ٣ Ⅷ", "ª", "是", "1a"]))] == [True, False, False, False]
