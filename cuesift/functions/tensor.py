@@ -28,7 +28,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dot_with(vector: list[float], column: Column) -> Column:
-    """Inner products with one given vector, in Arrow batches; another length is an error, a null vector gives null."""
+    """Inner products with one given vector, in Arrow batches; another length is an error, a null vector gives null.
+
+    Declared non-deterministic only so that a filter on the score doesn't run it a second time.
+    """
     q = np.asarray(vector, np.float64)
 
     @arrow_udf("double")
@@ -42,7 +45,7 @@ def dot_with(vector: list[float], column: Column) -> Column:
         out[ok] = flat @ q if len(q) else 0.0
         return pa.array(out, pa.float64(), mask=~ok)
 
-    return run(column)
+    return run.asNondeterministic()(column)
 
 
 def zeros(n: int) -> Column:

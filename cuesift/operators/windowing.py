@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.captions import Word, chunk_words
+from ..shared import written
 
 
-def sliding_chunks(words: DataFrame, size: float, stride: float, key: str = "vod_id", sort: bool = True) -> DataFrame:
+def sliding_chunks(words: DataFrame, size: float, stride: float, key: str = "vod_id") -> DataFrame:
     """key, k, text, start, end from words (key, seq, text, t).
 
     Keys whose times never go back take the native way: rows meet their windows by (key, k), with one
@@ -28,8 +29,8 @@ def sliding_chunks(words: DataFrame, size: float, stride: float, key: str = "vod
         raise ValueError("the stride must be positive")
     in_order = Window.partitionBy(key).orderBy("seq")
     rows = words.select(key, "seq", "text", F.coalesce(F.col("t").cast("double"), F.raise_error(F.lit("a word without a time")).cast("double")).alias("t"))
-    marked = rows.withColumn("back", F.col("t") < F.lag("t").over(in_order))
-    spans = marked.groupBy(key).agg(F.min_by("t", "seq").alias("t0"), F.max_by("t", "seq").alias("t1"), F.coalesce(F.bool_or("back"), F.lit(False)).alias("unsorted"))
+    rows = written(rows.withColumn("back", F.col("t") < F.lag("t").over(in_order)), "words")  # read several times below, a few columns each
+    spans = rows.groupBy(key).agg(F.min_by("t", "seq").alias("t0"), F.max_by("t", "seq").alias("t1"), F.coalesce(F.bool_or("back"), F.lit(False)).alias("unsorted"))
     spans = spans.withColumn("t1", F.when(F.col("t1") == float("inf"), F.raise_error(F.lit("windows would never end")).cast("double")).otherwise(F.col("t1")))
     steps = F.greatest(F.ceil((F.col("t1") - F.col("t0")) / stride), F.lit(0)) + 1
     begins = F.aggregate(F.sequence(F.lit(1), steps.cast("int")), F.array("t0"), lambda acc, _: F.array_append(acc, F.element_at(acc, -1) + stride))
@@ -49,7 +50,7 @@ def sliding_chunks(words: DataFrame, size: float, stride: float, key: str = "vod
         found = numbered_chunks([Word(*w) for w in zip(part["text"], part["t"])], size, stride)
         return pd.DataFrame([(part[key].iloc[0], k, c.text, c.start, c.end) for k, c in found], columns=[key, "k", "text", "start", "end"])
 
-    other = rows.join(spans.filter("unsorted").select(key), key).groupBy(key).applyInPandas(walk, f"{key} {kind}, k int, text string, start double, end double")
+    other = rows.drop("back").join(spans.filter("unsorted").select(key), key).groupBy(key).applyInPandas(walk, f"{key} {kind}, k int, text string, start double, end double")
     return sorted_way.unionByName(other)
 
 
