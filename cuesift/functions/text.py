@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .tensor import bound
+
 WS = r"\p{IsWhite_Space}"
 ALNUM = r"\p{IsAlphabetic}\p{N}"
 #: What a number may look like in a time code: no blanks, no underscores, no type suffix.
@@ -94,13 +96,19 @@ def merge_punct(first: Column, last: Column) -> Column:
 
 def merge_overlap(a: Column, b: Column, least: int) -> Column:
     """a and b joined over the longest run of at least ``least`` tokens that ends a and begins b; else as they are, with a space."""
-    at, bt = ws_tokens(a), ws_tokens(b)
-    an, bn = F.transform(at, norm_token), F.transform(bt, norm_token)
-    most = F.least(F.size(at), F.size(bt))
-    sizes = F.sequence(F.lit(least), F.greatest(F.lit(least), most))
-    same = lambda k: (k == 0) | (F.slice(an, F.size(an) - k + 1, F.greatest(k, F.lit(0))) == F.slice(bn, F.lit(1), k))
-    k = F.when(F.lit(least) <= most, F.array_max(F.filter(sizes, same)))
-    return F.when(k.isNull(), F.concat(a, F.lit(" "), b)).otherwise(F.array_join(F.concat(at, F.slice(bt, k + 1, F.size(bt))), " "))
+
+    def longest(x: Column) -> Column:
+        most = F.least(F.size(x["an"]), F.size(x["bn"]))
+        sizes = F.sequence(F.lit(least), F.greatest(F.lit(least), most))
+        same = lambda k: (k == 0) | (F.slice(x["an"], F.size(x["an"]) - k + 1, F.greatest(k, F.lit(0))) == F.slice(x["bn"], F.lit(1), k))
+        return F.when(F.lit(least) <= most, F.array_max(F.filter(sizes, same)))
+
+    def merged(t: Column) -> Column:
+        norms = F.struct(F.transform(t["at"], norm_token).alias("an"), F.transform(t["bt"], norm_token).alias("bn"))
+        joined = lambda k: F.when(k.isNull(), F.concat(a, F.lit(" "), b)).otherwise(F.array_join(F.concat(t["at"], F.slice(t["bt"], k + 1, F.size(t["bt"]))), " "))
+        return bound(bound(norms, longest), joined)
+
+    return bound(F.struct(ws_tokens(a).alias("at"), ws_tokens(b).alias("bt")), merged)
 
 
 def basic_tokens(text: Column) -> Column:

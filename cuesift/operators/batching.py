@@ -26,15 +26,17 @@ def length_batches(df: DataFrame, length: str, idx: str, batch: int) -> DataFram
 _encoders: dict[str, Encoder] = {}
 
 
-def embed(chunks: DataFrame, vocab: WordPiece, weights_path: str, config: Config, batch: int = BATCH, cells: int = 1 << 19) -> DataFrame:
+def embed(chunks: DataFrame, vocab: WordPiece, weights_path: str, config: Config, batch: int = BATCH, floats: int = 1 << 22, tasks: int | None = None) -> DataFrame:
     """chunks with ``embedding``. weights_path is a safetensors file that every worker can read.
 
-    Each task sorts its rows by length and embeds them in batches of at most ``batch`` rows and
-    ``cells`` padded ids, whichever is less. Weights are loaded once a worker. Rows never move: an embedding
-    doesn't depend on its batch.
+    Each task sorts its rows by length and embeds them in batches of at most ``batch`` rows, fewer where
+    the largest array (attention scores, or the inner layer) would pass so many ``floats``. Weights
+    are loaded once a worker. Rows don't move, as an embedding doesn't depend on its batch; give ``tasks``
+    to spread an input that comes in fewer parts than there are cores.
     """
     spark: SparkSession = chunks.sparkSession
-    named = chunks.withColumn("_ids", encode_column(spark, vocab, F.coalesce("text", F.lit("")))).sortWithinPartitions(F.size("_ids"))
+    spread = chunks.repartition(tasks) if tasks else chunks
+    named = spread.withColumn("_ids", encode_column(spark, vocab, F.coalesce("text", F.lit("")))).sortWithinPartitions(F.size("_ids"))
     schema = ", ".join(f"`{n}` {t}" for n, t in chunks.dtypes) + ", embedding array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +50,7 @@ def embed(chunks: DataFrame, vocab: WordPiece, weights_path: str, config: Config
             vectors, i = [], 0
             while i < len(ids):
                 j = i + 1
-                while j < len(ids) and j - i < batch and (j + 1 - i) * len(ids[j]) <= cells:
+                while j < len(ids) and j - i < batch and (j + 1 - i) * len(ids[j]) * max(config.heads * len(ids[j]), config.intermediate) <= floats:
                     j += 1
                 vectors.append(model.embed(ids[i:j]))
                 i = j

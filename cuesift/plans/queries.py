@@ -263,7 +263,10 @@ def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", encode(spark, WordPiece(TOY_VOCAB), F.col("text")).alias("ids"))
 
 
-@register("wordpiece_decode")
+@register(
+    "wordpiece_decode",
+    f"select doc_id, list_transform(ids, lambda i: ({TOY_VOCAB!r})[i + 1]) as tokens from ({ORACLES['wordpiece_encode']})",
+)
 def wordpiece_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = WordPiece(TOY_VOCAB)
     return wordpiece_encode(spark, sf_dir).select("doc_id", decode(vocab, F.col("ids")).alias("tokens"))
@@ -433,7 +436,8 @@ def toy_model() -> str:
 @register("embed_texts")
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit vectors of all documents under seeded toy weights."""
-    return embed(table(spark, sf_dir, "documents").select("doc_id", "text"), WordPiece(TOY_VOCAB), toy_model(), TOY).select("doc_id", "embedding")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embed(docs, WordPiece(TOY_VOCAB), toy_model(), TOY, tasks=4 * spark.sparkContext.defaultParallelism).select("doc_id", "embedding")
 
 
 @register("read_weights")
