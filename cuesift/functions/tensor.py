@@ -52,6 +52,12 @@ def zeros(n: int) -> Column:
     return F.array_repeat(F.lit(0.0), n)
 
 
+def from_vec(flat: Column, rows: int, cols: int) -> Column:
+    """A flat matrix of this shape; another number of values is an error."""
+    wrong = F.raise_error(F.lit(f"the values don't make {rows} x {cols}"))
+    return F.when(F.size(flat) == rows * cols, flat).otherwise(F.array(wrong.cast("double")))
+
+
 def row(flat: Column, i: int, width: int) -> Column:
     """Row i of a matrix kept flat."""
     return F.slice(flat, i * width + 1, width)

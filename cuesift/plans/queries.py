@@ -14,12 +14,14 @@ from ..functions import tensor, text
 from ..functions.encoder import Config
 from ..functions.wordpiece import WordPiece, decode, encode
 from ..operators.batching import embed, length_batches
+from ..operators.captions import caption_chunks, caption_words
 from ..operators.collapse import collapse_words
-from ..operators.search import search, video_link
+from ..operators.search import presented, search, video_link
 from ..operators.windowing import sliding_chunks
 from ..shared import scratch
-from ..sources.index import missing_videos, read_index, with_vectors, write_index
+from ..sources.index import export_files, import_files, missing_videos, read_index, with_vectors, write_index
 from ..sources.safetensors import read_safetensors, write
+from ..sources.vocab import read_vocab
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +79,7 @@ select (rn - 1)::int as rank, u.i as chunk_idx, vod as vod_id, u.t as start, u.s
 
 for _name, _k, _min_p in (("vector_search", 20, 0.2), ("vector_topk", 256, 0.05), ("min_p_cut", 256, 0.35), ("unlimited_search", 0, 0.0)):
     register(_name, _search_sql(_k, _min_p))(_search(_k, _min_p))
+vector_search = QUERIES["vector_search"]
 
 
 @register(
@@ -97,6 +100,16 @@ def result_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", video_link(F.col("user_id").cast("string"), F.col("value")).alias("url"), F.format_string("%.3f", "value").alias("shown"))
 
 
+@register(
+    "search_results",
+    f"select rank, printf('%.3f', score) as score, 'https://youtube.com/watch?v=' || vod_id || '&t=' || start::bigint as url, 'chunk ' || chunk_idx as text from ({_search_sql(20, 0.2)})",
+)
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user gets to see of vector_search."""
+    index = as_index(table(spark, sf_dir, "embeddings")).withColumn("text", F.concat(F.lit("chunk "), F.col("chunk_idx").cast("string")))
+    return presented(vector_search(spark, sf_dir), index)
+
+
 # -- Text -----------------------------------------------------------------------------------
 
 
@@ -214,6 +227,34 @@ def parse_timecode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.parse_timecode(code).alias("seconds"))
 
 
+# -- Captions -------------------------------------------------------------------------------
+
+
+def as_captions(conversations: DataFrame) -> DataFrame:
+    """Each conversation as a caption file: a cue every ten seconds, a turn on one line, with tags and a channel mark."""
+    at = F.format_string("%02d:%02d:%02d.000", F.floor(F.col("turn") / 360), F.floor(F.col("turn") / 6) % 60, (F.col("turn") % 6) * 10)
+    line = F.translate(F.coalesce("text", F.lit("")), "\n\r\t", "   ")
+    cue = F.concat(at, F.lit(" --> "), at, F.lit("\n<c>"), line, F.lit("</c>&gt;&gt;"))
+    cues = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("cues"))
+    return cues.select("conv_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join("cues.cue", "\n\n")).alias("source"))
+
+
+@register(
+    "caption_words",
+    r"""
+with w as (select conv_id, turn, list_filter(regexp_split_to_array(lower(translate(text, chr(10) || chr(13) || chr(9), '   ')) || '>>', '\s+'), lambda t: t <> '') as ws from conversations),
+e as (select conv_id, turn, unnest(ws) as text, generate_subscripts(ws, 1) as i from w)
+select conv_id, (row_number() over (partition by conv_id order by turn, i) - 1)::int as seq, text, turn * 10.0::double as t from e""",
+)
+def caption_words_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caption_words(as_captions(table(spark, sf_dir, "conversations")), "conv_id", "source")
+
+
+@register("caption_chunks")
+def caption_chunks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caption_chunks(as_captions(table(spark, sf_dir, "conversations")), "conv_id", "source")
+
+
 # -- Windows, tokens, batches ---------------------------------------------------------------
 
 
@@ -440,8 +481,32 @@ def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed(docs, WordPiece(TOY_VOCAB), toy_model(), TOY, tasks=4 * spark.sparkContext.defaultParallelism).select("doc_id", "embedding")
 
 
-@register("read_weights")
+@register(
+    "read_weights",
+    "select 'w' || r as name, ['F32', 'F16', 'BF16'][r % 3 + 1] as dtype, [r + 1, 4]::bigint[] as shape, list_transform(range(4 * (r + 1)), lambda i: ((i - 6) / 8.0)::float) as values from range(3) t(r)",
+)
 def read_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_safetensors(spark, toy_model())
-
-
+    """Three small files, one in each type, through the data source."""
+    folder, parts = tempfile.mkdtemp(prefix="cuesift-toy-"), []
+    for r, dtype in enumerate(("F32", "F16", "BF16")):
+        path = os.path.join(folder, f"{r}.safetensors")
+        write(path, {f"w{r}": ((np.arange(4 * (r + 1)) - 6) / 8).reshape(r + 1, 4)}, dtype)
+        parts.append(read_safetensors(spark, path))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@register("vocab_table", f"select unnest({TOY_VOCAB!r}) as token, (generate_subscripts({TOY_VOCAB!r}, 1) - 1)::int as id")
+def vocab_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = os.path.join(tempfile.mkdtemp(prefix="cuesift-toy-"), "vocab.txt")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(TOY_VOCAB))
+    return read_vocab(spark, path)
+
+
+@register("index_files", "select vec_id as chunk_idx, label::varchar as vod_id, 'chunk ' || vec_id as text, vec_id * 15.0::double as start, vec_id * 15.0::double as \"end\", embedding from embeddings")
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as vectors.f32 and meta.json, and read again."""
+    rows = as_index(table(spark, sf_dir, "embeddings"))
+    path = tempfile.mkdtemp(prefix="cuesift-files-")
+    export_files(rows.withColumns({"text": F.concat(F.lit("chunk "), F.col("chunk_idx").cast("string")), "end": F.col("start")}), path)
+    return import_files(spark, path, block=1 << 12)
