@@ -61,7 +61,9 @@ def test_against_brute_force(spark, seed, percent, block):
     assert 20 < len({c for _, c in want.values()}) < len(docs)
 
 
-def test_awkward_rows(spark):
+@pytest.mark.parametrize("broadcast", [minhash.BROADCAST_IDS, 0])
+def test_awkward_rows(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", broadcast)
     docs = awkward_docs(spark)
     rows = docs.collect()
     out = minhash.near_duplicates(docs, percent=80).collect()
