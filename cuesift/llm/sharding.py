@@ -48,10 +48,12 @@ def shard_records(df: DataFrame, shards: int = 16, key: str = "doc_id", text: st
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), k, body), F.element_at(many, F.col("shard") + 1)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # Sorted buckets and sorted records give the random stream the same order in every attempt of a task.
-    buckets = placed.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("records"))
-    shuffled = buckets.join(offsets, ["shard", "bucket"]).sortWithinPartitions("shard", "bucket").select("shard", "base", F.shuffle("records", F.lit(seed)).alias("records"))
-    out = shuffled.select("shard", "base", F.posexplode("records").alias("at", "record"))
+    # A number of tasks that follows from the data, sorted buckets in each and sorted records in these give every
+    # bucket the same part of its task's random stream, in a repeated task as in another run.
+    tasks = max(1, -(-sum(weight.values()) // (2 * bucket_bytes)))
+    buckets = placed.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("records"))
+    shuffled = buckets.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("records", F.lit(seed)).alias("records"))
+    out = shuffled.join(offsets, ["shard", "bucket"]).select("shard", "base", F.posexplode("records").alias("at", "record"))
     back = [F.map_from_entries(f"record.in_{i}").alias(f"in_{i}") if isinstance(t, T.MapType) else F.col(f"record.in_{i}") for i, t in enumerate(kinds)]
     out = out.select(*back, "shard", (F.col("base") + F.col("at")).alias("slot"))
     added = ["shard", "slot", "grown_shard"]
