@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,3 +149,77 @@ def mean_pool(df: DataFrame, key: str, vector: str) -> DataFrame:
     """key, pooled: the mean of each component over a key's vectors. Averages are combined before the shuffle."""
     means = df.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("m"))
     return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("pooled"))
+
+
+#: Queries of one task's turn, and keys scored at a time.
+QUERY_BLOCK, KEY_BLOCK = 2048, 1024
+
+
+def _attended(scale: float) -> object:
+    """Batches of (grp, block, role, id, v), each block's queries (role 0) before its keys (1), to (id, top, total, y).
+
+    Keys are taken as they come: per query only the largest score, the sum of weights and the weighted sum are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, queries, state = None, [], [], None
+
+        def done() -> pa.RecordBatch:
+            top, total, y = state
+            flat = pa.array((y / total[:, None]).reshape(-1), pa.float64())
+            lists = pa.ListArray.from_arrays(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32), flat)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(top), pa.array(total), lists], ["id", "top", "total", "y"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grp, block, role, key = (np.asarray(batch.column(i)) for i in range(4))
+            v = np.asarray(batch.column(4).flatten()).astype(np.float64).reshape(batch.num_rows, -1)
+            cuts = np.flatnonzero((np.diff(grp) != 0) | (np.diff(block) != 0) | (np.diff(role) != 0)) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
+                if (grp[a], block[a]) != now:
+                    if state is not None:
+                        yield done()
+                    now, ids, queries, state = (grp[a], block[a]), [], [], None
+                if role[a] == 0:
+                    ids.append(key[a:b])
+                    queries.append(v[a:b])
+                    continue
+                if not queries:
+                    continue
+                if state is None:
+                    queries = [np.concatenate(queries)]
+                    state = np.full(len(queries[0]), -np.inf), np.zeros(len(queries[0])), np.zeros_like(queries[0])
+                for c in range(a, b, KEY_BLOCK):
+                    keys = v[c : min(c + KEY_BLOCK, b)]
+                    scores = queries[0] @ keys.T / scale
+                    top = np.maximum(state[0], scores.max(1))
+                    weights, shrink = np.exp(scores - top[:, None]), np.exp(state[0] - top)
+                    state = top, state[1] * shrink + weights.sum(1), state[2] * shrink[:, None] + weights @ keys
+        if state is not None:
+            yield done()
+
+    return run
+
+
+def self_attention(df: DataFrame, key: str, group: str, vector: str, scale: float) -> DataFrame:
+    """key (a long), y: every vector attends to all vectors of its group; softmax of inner products / scale, times the vectors.
+
+    No pair is ever a row: a group's queries are dealt into blocks by a hash, and its keys pass by each block in
+    Arrow batches. Rows without a group or a vector take no part; rows that repeat a key share one softmax.
+    """
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(group).cast("long").alias("grp"), F.col(vector).alias("v")).filter("grp is not null and v is not null")
+    sizes = rows.groupBy("grp").agg(div_up(F.count("*"), QUERY_BLOCK).alias("blocks"))
+    rows = rows.join(sizes, "grp")
+    order = ["grp", "block", "role", "id", "v"]
+    queries = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("role", F.lit(0)).select(*order)
+    keys = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("role", F.lit(1)).select(*order)
+    dealt = queries.unionByName(keys).repartition("grp", "block").sortWithinPartitions("grp", "block", "role")
+    parts = dealt.mapInArrow(_attended(scale), "id long, top double, total double, y array<double>")
+    each = parts.groupBy("id").agg(F.collect_list(F.struct("top", "total", "y")).alias("each"))
+    each = each.withColumn("top", F.array_max("each.top"))
+    each = each.withColumn("each", F.transform("each", lambda r: F.struct((r["total"] * F.exp(r["top"] - F.col("top"))).alias("w"), r["y"].alias("y"))))
+    each = each.withColumn("total", total(F.col("each.w")))
+    none = F.transform(F.element_at("each", 1)["y"], lambda x: x * 0.0)
+    y = F.aggregate("each", none, lambda a, r: F.zip_with(a, r["y"], lambda s, x: s + r["w"] / F.col("total") * x))
+    return each.select(F.col("id").alias(key), y.alias("y"))

@@ -400,15 +400,9 @@ y as (select vec_id, p, sum(w * x) as y from c group by vec_id, p)
 select vec_id, {_R6.format('list(y order by p)')} as y from y group by vec_id""",
 )
 def self_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attention of the first hundred vectors among those of their label, as joins and sums."""
-    from pyspark.sql.window import Window
-
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 100").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    pairs = e.alias("a").join(e.select("label", F.col("v").alias("w")).alias("b"), "label").select("vec_id", (tensor.dot(F.col("v"), F.col("w")) / 8.0).alias("s"), "w")
-    row = Window.partitionBy("vec_id")
-    weights = pairs.withColumn("s", F.exp(F.col("s") - F.max("s").over(row))).withColumn("s", F.col("s") / F.sum("s").over(row))
-    sums = weights.select("vec_id", "s", F.posexplode("w").alias("p", "x")).groupBy("vec_id", "p").agg(F.sum(F.col("s") * F.col("x")).alias("y"))
-    return sums.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("p", "y"))).alias("ys")).select("vec_id", rounded(F.col("ys.y")).alias("y"))
+    """Attention of every vector among all those of its label."""
+    out = tensor.self_attention(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 8.0)
+    return out.select("vec_id", rounded(F.col("y")).alias("y"))
 
 
 @register(
