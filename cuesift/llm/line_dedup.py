@@ -43,7 +43,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
     lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n", -1)
     hashes = F.array_distinct(F.filter(key_hashes(lines(F.col("text")), min_chars), lambda h: h.isNotNull()))
     held = written(two.select("id", F.explode(hashes).alias("h")), "lines")
-    counted = held.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
+    counted = held.dropDuplicates(["h", "id"]).groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
     drops = held.join(counted, "h").filter(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("h").alias("gone"))
     rows, own = numbered(df)
     id_, body = F.col(f"in_{own.index(key)}"), f"in_{own.index(text)}"

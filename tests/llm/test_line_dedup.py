@@ -47,6 +47,17 @@ def test_small_thresholds(spark):
     assert order(got) == order(slow(list(enumerate(texts)), 3, 2))
 
 
+def test_repeated_rows_are_one_document(spark):
+    """A line of two ids in five rows, of four ids in five rows, of five in five, and of null ids and four others."""
+    line = lambda k: f"line number {k}, of forty characters at the least"
+    rows = [(1, f"{line(0)}\nx")] * 4 + [(2, line(0)), (3, line(1)), (3, line(1)), (4, line(1)), (5, line(1)), (6, line(1))]
+    rows += [(i, line(2)) for i in range(7, 12)] + [(i, line(3)) for i in (None, None, 12, 13, 14, 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in line_dedup.dedup_lines(docs).collect()]
+    assert order(got) == order(slow(rows))
+    assert {r[0] for r in got if r[3]} == {7, 8, 9, 10, None, 12, 13, 14}
+
+
 def test_empty(spark):
     assert line_dedup.dedup_lines(no_docs(spark)).count() == 0
     assert "op4_line_dedup" in queries.ORACLES
