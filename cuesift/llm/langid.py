@@ -19,15 +19,19 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.window import Window
 
 from .common import pick
 from .words import column_bytes, release
 
 ORDER = 3
-#: Bounds of the training sample: about so many rows a language, none longer than so many bytes, and so many languages.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES, MAX_LANGUAGES = 400, 1 << 16, 64
+#: Bounds of the training sample: about so many rows a language, none longer than so many bytes where shorter ones
+#: are to be had; else so many whole texts.
+SAMPLE_ROWS, SAMPLE_TEXT_BYTES, WHOLE_TEXTS = 400, 1 << 16, 8
 #: A context is kept if it was seen so often, and, the most frequent first, while the table of code lengths has at most so many entries.
 LEAST, CELLS = 2, 1 << 24
+#: Languages that share a tree at most, and trees whose tables a worker keeps; those of further trees are worked out anew for each batch.
+GROUP, KEEP = 4, 3
 RESULT = "struct<lang: string, score: double, bits_per_byte: double>"
 UNKNOWN = "und"
 STEP = 1 << 18
@@ -40,7 +44,8 @@ class Model:
     """Frozen statistics: the shared tree of contexts and, per language, the counts at its nodes."""
 
     def __init__(self, samples: dict[str, list[str]], order: int = ORDER, least: int = LEAST):
-        self.id = uuid.uuid4().hex
+        self.id = self.family = uuid.uuid4().hex
+        self.whole = True  # no context seen often enough was left out for want of room
         self.languages = sorted(samples)
         self.order = order
         texts = {k: [t.encode() for t in v if t] for k, v in samples.items()}
@@ -62,6 +67,7 @@ class Model:
                 base = self.level[-1]
                 room = max(0, CELLS // (w * len(self.languages) or 1) - base)
                 often = np.lexsort((keys, -times))[:room]
+                self.whole &= room >= (times >= least).sum()
                 keys = np.sort(keys[often][times[often] >= least])
                 self.keys.append(keys)
                 self.level.append(base + len(keys))
@@ -132,15 +138,54 @@ def _dense(kept: tuple, language: int) -> np.ndarray:
     return out.reshape(kept[0])
 
 
-_ready: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+class Models:
+    """Models of neighbouring groups of languages, which are scored in turn."""
 
+    def __init__(self, parts: list[Model]):
+        self.parts = parts
+        self.languages = [k for m in parts for k in m.languages]
+        family = uuid.uuid4().hex
+        for m in parts:
+            m.family = family
 
-def code_lengths(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of each whole text under each language, and the texts' bytes."""
-    if model.id not in _ready:
+
+def train(samples: dict[str, list[str]], order: int = ORDER, least: int = LEAST) -> Model | Models:
+    """A model of all languages, in groups of at most GROUP; a group whose contexts don't all find room is halved.
+
+    So what a language's tree holds doesn't depend on how many languages there are.
+    """
+
+    def grown(names: list[str]) -> list[Model]:
+        model = Model({k: samples[k] for k in names}, order, least)
+        if model.whole or len(names) < 2:
+            return [model]
+        return grown(names[: len(names) // 2]) + grown(names[len(names) // 2 :])
+
+    names = sorted(samples)
+    parts = [m for a in range(0, len(names), GROUP) for m in grown(names[a : a + GROUP])]
+    return Models(parts) if len(parts) > 1 else parts[0] if parts else Model({}, order, least)
+
+
+_ready: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    if model.family not in _ready:
         _ready.clear()
-        _ready[model.id] = model.tables()
-    child, cost = _ready[model.id]
+        _ready[model.family] = {}
+    kept = _ready[model.family]
+    found = kept[model.id] if model.id in kept else model.tables()
+    if len(kept) < KEEP:
+        kept[model.id] = found
+    return found
+
+
+def code_lengths(model: Model | Models, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each whole text under each language, and the texts' bytes."""
+    if isinstance(model, Models):
+        each = [code_lengths(m, texts) for m in model.parts]
+        return np.hstack([bits for bits, _ in each]), each[0][1]
+    child, cost = _tables(model)
     data, bounds = column_bytes(texts)
     bits = np.zeros((len(bounds) - 1, len(model.languages)))
     for a in range(0, len(data), STEP):
@@ -174,7 +219,7 @@ def code_lengths(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return bits, np.diff(bounds)
 
 
-def predict(model: Model, texts: pa.Array) -> list[dict]:
+def predict(model: Model | Models, texts: pa.Array) -> list[dict]:
     bits, sizes = code_lengths(model, texts)
     out = []
     for text, own, size in zip(texts, bits, sizes):
@@ -208,28 +253,37 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, order: int = ORDER) -> Model:
-    """A model from a bounded sample of the labelled rows that aren't held out.
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, order: int = ORDER) -> Model | Models:
+    """A model of every language that has a labelled text, from a bounded sample of the rows that aren't held out.
 
     The sample takes rows by a hash of their id: about ``rows`` for each language (never more than
-    twice that), none longer than SAMPLE_TEXT_BYTES, so what reaches the driver is bounded whatever
-    the table's size. Rows without text or language teach nothing; a table without labelled rows gives a model
+    twice that), none longer than SAMPLE_TEXT_BYTES. A language that gets no row that way, as all its texts are longer, learns from up to
+    WHOLE_TEXTS of its shortest, taken whole. What reaches the driver grows with the number of languages, not with
+    the table. Rows without text or language teach nothing; a table without labelled rows gives a model
     without languages, which calls every text ``und``.
     """
-    known = pick(df, [key, text, lang]).toDF("k", "t", "l").filter(~held_out(F.col("k")) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    sizes = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
+    known = pick(df, [key, text, lang]).toDF("k", "t", "l").filter(~held_out(F.col("k")) & F.col("l").isNotNull() & (F.octet_length("t") > 0))
+    short = F.octet_length("t") <= SAMPLE_TEXT_BYTES
+    sizes = known.groupBy("l").agg(F.count_if(short).alias("n")).orderBy("l").collect()
     if not sizes:
         return Model({}, order)
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("k"), F.octet_length("t")), 11) / float(1 << 53)
-    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, rows / r["count"]))])
-    drawn = known.filter((chance < F.try_element_at(shares, F.col("l"))) & (F.octet_length("t") <= SAMPLE_TEXT_BYTES))
+    spark = df.sparkSession
+    draw = F.xxhash64(F.lit(5), F.col("k"), F.octet_length("t"))
+    chance = F.shiftrightunsigned(draw, 11) / float(1 << 53)
+    shares = spark.createDataFrame([(r["l"], min(1.0, rows / max(r["n"], 1))) for r in sizes], "l string, share double")
+    drawn = known.filter(short).join(F.broadcast(shares), "l").filter(chance < F.col("share")).withColumn("chance", chance)
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy("chance"))).filter(F.col("place") <= 2 * rows)
     samples: dict[str, list[str]] = {r["l"]: [] for r in sizes}
-    for t, l in drawn.select("t", "l").limit(2 * rows * len(sizes)).collect():
+    for t, l in drawn.select("t", "l").collect():
         samples[l].append(t)
-    return Model(samples, order)
+    if without := [(k,) for k, v in samples.items() if not v]:
+        eighths = known.join(F.broadcast(spark.createDataFrame(without, "l string")), "l").groupBy("l", F.pmod(draw, F.lit(WHOLE_TEXTS)))
+        for t, l in eighths.agg(F.min_by("t", F.struct(F.octet_length("t"), draw)).alias("t")).select("t", "l").collect():
+            samples[l].append(t)
+    return train(samples, order)
 
 
-def identify_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None) -> DataFrame:
+def identify_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | Models | None = None) -> DataFrame:
     """df's key, text and language columns as k, t, l, with pred (lang, score, bits_per_byte) and held_out.
 
     pred.lang is ``und`` with score 0 if the text is null, empty or has no letter; else the language of the

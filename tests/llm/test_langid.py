@@ -106,3 +106,30 @@ def test_tables_are_bounded(monkeypatch):
 def test_numbers_and_marks_are_no_letters():
     model = langid.Model(SAMPLES)
     assert [r["lang"] == "und" for r in langid.predict(model, pa.array(["²³ 12 _ ٣ Ⅷ", "ª", "是", "1a"]))] == [True, False, False, False]
+
+
+def test_groups_score_as_one(monkeypatch):
+    """Groups of languages, also halved ones, give the code lengths of one tree; tables beyond KEEP are worked out anew."""
+    samples = {f"l{i}": [f"{chr(97 + i)}{t} {chr(110 + i)}" for t in SAMPLES["xy"[i % 2]]] for i in range(9)}
+    texts = pa.array(["the cat", "là", "zzz", "", "the mât 是", "b c d"])
+    one, _ = langid.code_lengths(langid.Model(samples, 3, least=1), texts)
+    many = langid.train(samples, 3, least=1)
+    monkeypatch.setattr(langid, "KEEP", 1)
+    monkeypatch.setattr(langid, "CELLS", 6000)
+    halved = langid.train(samples, 3, least=1)
+    assert len(many.parts) == 3 < len(halved.parts) and all(m.whole for m in halved.parts)
+    for model in (many, halved, many):
+        bits, _ = langid.code_lengths(model, texts)
+        assert model.languages == sorted(samples) and np.allclose(bits, one, rtol=1e-5)
+
+
+def test_every_language_is_learned(spark):
+    """More than 64 languages, one of long texts alone, and one of empty texts, which teach nothing."""
+    word = lambda i: "".join(chr(0x4E00 + 40 * i + k) for k in range(5))
+    rows = [(f"l{i:03d}", f"{word(i)} " * 3) for i in range(80) for _ in range(6)] + [("long", f"{word(90)} " * 5000)] * 6 + [("none", "")] * 6
+    docs = spark.createDataFrame([(k, t, l) for k, (l, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == [f"l{i:03d}" for i in range(80)] + ["long"]
+    found = langid.identify_languages(docs, model=model).collect()
+    assert all(r["pred"]["lang"] == (r["l"] if r["t"] else "und") for r in found)
+    assert all(r["pred"]["bits_per_byte"] < 4 for r in found if r["l"] == "long")
