@@ -132,7 +132,7 @@ def find(texts: pa.Array, index: Index) -> list[dict]:
             _, begins, owners = index.by_length[n]
             for p in set(place[a:b][length[a:b] == n].tolist()):
                 items.update(owners[begins[p] : begins[p + 1]].tolist())
-        rows[d].update(starts=begin[new].tolist(), ends=reach[last].tolist(), items=sorted(index.ids[k] for k in items))
+        rows[d].update(starts=begin[new].tolist(), ends=reach[last].tolist(), items=sorted({index.ids[k] for k in items}))
     return rows
 
 

@@ -68,6 +68,16 @@ def test_long_items_only(spark):
     assert 0 < sum(bool(x[1]) for x in want) < len(texts)
 
 
+def test_repeated_items_are_one(spark):
+    """A document that hits two rows of one item_id, under one block and under several."""
+    items = [(1, "one two three"), (2, "seven eight"), (1, "four five six"), (None, "nine ten"), (None, "ten eleven")]
+    texts = ["one two three and four five six", "seven eight nine ten eleven", "none"]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontam.BLOCK_BYTES, 1):
+        got = {r["doc_id"]: r["item_ids"] for r in decontam.mark_contaminated(docs, bench, block_bytes=block).collect()}
+        assert got == {0: ["1"], 1: ["2", "null"], 2: []}
+
+
 def test_edges_and_query(spark, tmp_path):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert decontam.mark_contaminated(no_docs(spark), bench).count() == 0
