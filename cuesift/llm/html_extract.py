@@ -1,9 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree. Navigation, adverts, forms, comments and the like are set aside by element, role
-and class. Each remaining paragraph passes points for its length and commas to its ancestors, fewer
+and class, but no element for its name alone that holds the article or most of the page. Each remaining paragraph passes points for its length and commas to its ancestors, fewer
 with each level; a container's points are discounted by the share of its text that is links. The
-best container is kept, with siblings that score near it or read like its paragraphs.
+best container is kept, with siblings that score near it or read like its paragraphs; where it is in no
+article or main, with all sibling blocks whose text isn't links, however short.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ class Page:
     """The tree of one page: nodes in page order (parents first) and text pieces with the node that holds each."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.junk, self.weight, self.link = ["#root"], [0], [False], [0], [False]
+        self.tag, self.parent, self.junk, self.named, self.weight, self.link = ["#root"], [0], [False], [False], [0], [False]
         self.pieces: list[tuple[int, str]] = []
         stack, open_tags = [0], {}
         at = 0
@@ -99,10 +100,11 @@ class Page:
                 continue
             node = len(self.tag)
             up = stack[-1]
-            junk, weight = self._judge(name, m.group(3) or "", up)
+            junk, named, weight = self._judge(name, m.group(3) or "", up)
             self.tag.append(name)
             self.parent.append(up)
             self.junk.append(self.junk[up] or junk)
+            self.named.append(named)
             self.weight.append(weight)
             self.link.append(self.link[up] or name == "a")
             if name in BLOCK:
@@ -116,35 +118,83 @@ class Page:
             stack.append(node)
             open_tags[name] = open_tags.get(name, 0) + 1
 
-    def _judge(self, name: str, attrs: str, up: int) -> tuple[bool, int]:
-        """Whether an element is set aside, and the weight of its names."""
+    def _judge(self, name: str, attrs: str, up: int) -> tuple[bool, bool, int]:
+        """Whether an element is set aside, whether its names speak for that, and their weight."""
         if name in JUNK:
-            return True, 0
+            return True, False, 0
         in_header = self.tag[up] == "header"
         if name == "header":
             x = up
             while x and self.tag[x] not in ("article", "main"):
                 x = self.parent[x]
             if not x:
-                return True, 0
+                return True, False, 0
         elif in_header and name not in HEADINGS and name not in ("hgroup", "div"):
-            return True, 0
+            return True, False, 0
         if not attrs or attrs.isspace():
-            return False, 0
+            return False, False, 0
         found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
         if name in SAFE:
-            return False, 25 if name in ("article", "main") else 0
+            first = {_SPLIT.split(x)[0] for x in (found.get("class", "") + " " + found.get("id", "")).lower().split()}
+            return False, bool(first & JUNK_NAMES), 25 if name in ("article", "main") else 0  # such as a comment's article
         if "hidden" in found or found.get("role", "").lower() in JUNK_ROLES or "display:none" in found.get("style", "").replace(" ", "").lower():
-            return True, 0
+            return True, False, 0
         if name in HEADINGS or name in ("a", "p", "span", "b", "i", "em", "strong"):
             names = set(found.get("class", "").lower().split())  # whole class names only, for elements of text
         else:
             names = set(_SPLIT.split(_HUMP.sub(" ", found.get("class", "") + " " + found.get("id", "")).lower()))
-        if names & JUNK_NAMES:
-            return True, 0
-        return False, 25 if names & GOOD_NAMES else 0
+        return False, bool(names & JUNK_NAMES), 25 if names & GOOD_NAMES else 0
+
+    def _set_aside(self) -> None:
+        """Sets aside what is named like junk, outermost first, but no element whose loss would be the page's.
+
+        If no article or main lies outside such names, an element stays that holds one, or that holds most of the page's
+        paragraph points while well-named containers outside have less than a quarter of its. Articles and mains
+        are never set aside by their own names, but one whose name begins like junk (a comment's) doesn't count here.
+        """
+        if not any(self.named):
+            return
+        n = len(self.tag)
+        points, articles = self._points(), [0] * n
+        within = [False] * n  # in or at an element named like junk
+        good = [False] * n  # in or at an article, main or well-named container outside those
+        outside_points, outside_article = 0.0, False
+        for x in range(1, n):
+            up = self.parent[x]
+            within[x] = within[up] or self.named[x]
+            real = self.tag[x] in ("article", "main") and not self.junk[x] and not self.named[x]
+            articles[x] = int(real)
+            good[x] = not within[x] and not self.junk[x] and (good[up] or real or self.weight[x] > 0)
+            outside_points += points[x] * good[x]
+        for x in range(n - 1, 0, -1):
+            up = self.parent[x]
+            points[up] += points[x]
+            articles[up] += articles[x]
+        for x in range(1, n):
+            outside_article = outside_article or self.tag[x] in ("article", "main") and good[x] and points[x] > 0
+        for x in range(1, n):
+            if self.junk[self.parent[x]]:
+                self.junk[x] = True
+            elif self.named[x] and self.tag[x] not in SAFE and not self.junk[x]:
+                most = 2 * points[x] > points[0] and outside_points < points[x] / 4
+                self.junk[x] = outside_article or not (points[x] > 0 and (articles[x] or most))
+
+    def _points(self) -> list[float]:
+        """Each block's own points as a paragraph; for what isn't set aside."""
+        n = len(self.tag)
+        size, links, commas, block = [0] * n, [0] * n, [0] * n, [0] * n
+        for x in range(1, n):
+            block[x] = x if self.tag[x] in BLOCK else block[self.parent[x]]
+        for x, t in self.pieces:
+            if not self.junk[x] and (length := len(" ".join(t.split()))):
+                b = block[x]
+                size[b] += length
+                commas[b] += t.count(",") + t.count("，") + t.count("、")
+                links[b] += length * self.link[x]
+        return [(1 + c + min((s - k) / 100, 3)) * (1 - k / s) if s > k else 0.0 for s, k, c in zip(size, links, commas)]
 
     def main_text(self) -> str:
+        self._set_aside()
         best, also = self._container()
         if best is None:
             return ""
@@ -197,7 +247,8 @@ class Page:
         x = best
         while x and self.tag[x] not in ("article", "main"):
             x = self.parent[x]
-        if x:
+        whole_article = bool(x)
+        if whole_article:
             best = x  # the whole of the article that it lies in
         also = []
         if best:
@@ -205,7 +256,8 @@ class Page:
                 if x != best and self.parent[x] == self.parent[best] and not self.junk[x]:
                     near = final.get(x, 0.0) >= max(10.0, SIBLING_SHARE * final.get(best, 0.0))
                     reads = self.tag[x] == "p" and whole[x] > 80 and density(x) < 0.25
-                    if near or reads:
+                    part = not whole_article and self.tag[x] in BLOCK and whole[x] > 0 and density(x) < 0.25
+                    if near or reads or part:
                         also.append(x)
         return best, also
 

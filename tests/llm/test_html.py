@@ -32,6 +32,30 @@ def test_article_alone_stays(around):
         assert html_extract.main_text(f"<body>{around.format(ARTICLE + part)}</body>") == TEXT
 
 
+@pytest.mark.parametrize("names", ["class='layout has-sidebar'", "class='no-sidebar'", "id='with-comments'", "class='has-header-image'", "class='layout hasSidebar'"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div class='x'>{}</div>", "<div class='has-menu'><div>{}</div></div>"])
+def test_wrappers_named_like_junk(names, inner):
+    page = f"<div {names}>{inner.format(ARTICLE)}</div>"
+    assert html_extract.main_text(f"<body>{page}</body>") == TEXT
+    if "article" in inner or "main" in inner:
+        assert html_extract.main_text(f"<body>{''.join(JUNK[:5])}{page}{''.join(JUNK[5:])}</body>") == TEXT
+        assert html_extract.main_text(f"<body><div {names}>{JUNK[4]}{inner.format(ARTICLE)}{JUNK[5]}</div></body>") == TEXT
+
+
+def test_long_comments_stay_out():
+    talk = f"<section id='comments'>{'<article><p>So, they say, and say, and say again, at length, all of it.</p></article>' * 20}</section>"
+    for around in ("<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>"):
+        # a well-named container counts as long as it has a quarter of the comments' points
+        assert html_extract.main_text(f"<body>{around.format(ARTICLE)}{talk if 'div' not in around else JUNK[8]}</body>") == TEXT
+
+
+def test_short_sections_stay():
+    """Pages without article and main: short blocks beside the best one are text, lists of links aren't."""
+    long = "<section><p>" + "Some words, and more, of a long section. " * 12 + "</p></section>"
+    page = f"<body><div><h2>Head</h2><section><p>A short one.</p></section>{long}<section><p>Last.</p></section><div><a href='x'>Elsewhere</a></div></div></body>"
+    assert html_extract.main_text(page) == "Head A short one. " + "Some words, and more, of a long section. " * 12 + "Last."
+
+
 def test_broken_markup():
     run = html_extract.main_text
     assert run("<p>one<p>two</b> <b>three") == "one two three" and run("<p>two</b><b>three") == "twothree"
