@@ -4,7 +4,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cuesift.llm import langid
-from tests.llm.data import SF, awkward_docs, needs_tables
+from tests.llm.data import SF, awkward_docs, awkward_texts, needs_tables, tables
 from tests.llm.test_decontam import slow as slow_decontam
 from tests.llm.test_line_dedup import slow as slow_lines
 from tests.llm.test_minhash import slow as slow_near
@@ -72,3 +72,22 @@ def test_stages_take_awkward_and_empty_tables(spark, tmp_path, k):
     assert kept > 0 and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     if k == 1:
         assert kept == docs.count()
+
+
+def test_run_against_brute_force_of_all_lengths(spark, tmp_path):
+    """run()'s pieces, whole, on null, empty and very long texts too."""
+    import pyarrow as pa
+
+    texts = awkward_texts() + ["one two three four", None]
+    assert max(len(t or "") for t in texts) >= 300_000 and "" in texts
+    items = [(1, "one two three")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    path = tables(spark, tmp_path, docs, benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    found = langid.predict(langid.fit(docs), pa.array([t or "" for t in texts]))
+    left = [(i, t) for (i, t), f in zip(enumerate(texts), found) if f["lang"] != "und" and f["score"] >= cp.MIN_SCORE]
+    left = [(d, t) for d, t, *_ in slow_lines(left)]
+    groups = slow_near(left, 80)
+    left = [(d, t) for d, t in left if groups[d][1] == d]
+    left = [x for x, (_, hit, _) in zip(left, slow_decontam([t for _, t in left], items)) if not hit]
+    assert max(len(t) for _, t in left) >= 300_000
+    check_pieces(cp.run(spark, path).collect(), left, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
