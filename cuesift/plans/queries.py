@@ -391,7 +391,7 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "self_attention",
     f"""
-with e as (select vec_id, label, {_E} as v from embeddings where vec_id < 100),
+with e as (select vec_id, label, {_E} as v from embeddings),
 s as (select a.vec_id, b.vec_id as other, a.label, list_inner_product(a.v, b.v) / 8.0 as s, b.v from e a join e b using (label)),
 m as (select *, max(s) over (partition by vec_id) as top from s),
 x as (select *, exp(s - top) as w, sum(exp(s - top)) over (partition by vec_id) as total from m),
