@@ -6,7 +6,7 @@ token count are recorded. A turn is ``<|turn|>role\\n`` + content + ``<|end|>\\n
 
 Control strings in a text are escaped by one more ``!`` behind their first character, whatever
 number they hold there, so ``<|``, ``<!|``, ``</s>`` and ``[INST]`` all come back as they were and
-none of the template's marks can occur inside a text.
+none of the template's marks can occur inside a text, nor where two text parts meet.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tensor import bound
 from .common import pick
 
 TURN, END = "<|turn|>", "<|end|>\n"
@@ -42,27 +43,43 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<|n|>"), F.lit("\n")))
 
 
-def text_part(text: Column) -> Column:
-    """A message that is one text part."""
-    none = F.lit(None)
-    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), none.cast("string").alias("uri"), none.cast("long").alias("tokens")))
-
-
 def flatten_parts(parts: Column) -> tuple[Column, Column]:
     """The content of a message, and its attachments (ordinal from 1, type, uri, tokens), in order.
 
     A part of null or unknown type is an attachment of type ``unknown``; a null part or list is empty.
     """
     parts = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
-    is_text = lambda p: p["type"].eqNullSafe(F.lit("text"))
-    others = F.filter(parts, lambda p: ~is_text(p))
-    kind = lambda p: F.when(p["type"].isin(*DEFAULT_TOKENS), p["type"]).otherwise(F.lit("unknown"))
+    return bound(parts, _content), bound(parts, _attachments)
+
+
+def _is_text(part: Column) -> Column:
+    return part["type"].eqNullSafe(F.lit("text"))
+
+
+def _kind(part: Column) -> Column:
+    return F.when(part["type"].isin(*DEFAULT_TOKENS), part["type"]).otherwise(F.lit("unknown"))
+
+
+def _content(parts: Column) -> Column:
+    """Runs of neighbouring texts are joined before they are escaped, so no control string comes about where two meet."""
+    places = F.filter(F.transform(parts, lambda p, i: F.when(~_is_text(p), i + 1)), lambda i: i.isNotNull())
+    cuts = F.concat(F.array(F.lit(0)), places, F.array(F.size(parts) + 1))
+
+    def runs(c: Column) -> Column:
+        def run(k: Column) -> Column:
+            texts = F.slice(parts, F.get(c, k) + 1, F.get(c, k + 1) - F.get(c, k) - 1)
+            mark = F.concat(F.lit("<|"), _kind(F.get(parts, F.get(c, k) - 1)), F.lit(":"), k.cast("string"), F.lit("|>"))
+            return F.concat(F.when(k > 0, mark).otherwise(F.lit("")), escape(F.array_join(F.transform(texts, lambda p: F.coalesce(p["text"], F.lit(""))), "")))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(c) - 2), run), "")
+
+    return bound(cuts, runs)
+
+
+def _attachments(parts: Column) -> Column:
     most = F.create_map(*[F.lit(x) for pair in DEFAULT_TOKENS.items() for x in pair])
-    refs = F.transform(others, lambda p, i: F.struct((i + 1).alias("ordinal"), kind(p).alias("type"), p["uri"].alias("uri"), F.coalesce(p["tokens"], F.try_element_at(most, kind(p)).cast("long"), F.lit(0)).cast("long").alias("tokens")))
-    # The ordinal of an attachment is the number of attachments up to its place.
-    rank = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda p: ~is_text(p)))
-    pieces = F.transform(parts, lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit(":"), rank(i).cast("string"), F.lit("|>"))))
-    return F.array_join(pieces, ""), refs
+    tokens = lambda p: F.coalesce(p["tokens"], F.try_element_at(most, _kind(p)).cast("long"), F.lit(0)).cast("long")
+    return F.transform(F.filter(parts, lambda p: ~_is_text(p)), lambda p, i: F.struct((i + 1).alias("ordinal"), _kind(p).alias("type"), p["uri"].alias("uri"), tokens(p).alias("tokens")))
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str | None = "text", parts: str | None = None, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -76,7 +93,8 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     """
     names = [conv, turn, role, parts or text]
     rows = pick(df, names).toDF("conv_id", "turn", "role", "body")
-    content, refs = flatten_parts(F.col("body") if parts else text_part(F.col("body")))
+    none = F.array().cast("array<struct<ordinal: int, type: string, uri: string, tokens: long>>")
+    content, refs = flatten_parts(F.col("body")) if parts else (escape(F.coalesce("body", F.lit(""))), none)  # a text is one text part
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("content"), refs.alias("refs"))
     rows = rows.withColumn("head", F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n")))
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
