@@ -1,7 +1,7 @@
 """Line dedup across documents, with DataFrame functions only.
 
-Lines are normalised and hashed, documents are counted per hash, lines over the threshold go (one
-document keeps its own), and the rest is put together again by position.
+Lines are exploded, normalised and hashed once, distinct documents are counted per hash, lines over the
+threshold go (one document keeps its own), and the rest is put together again by position.
 """
 
 from __future__ import annotations
@@ -9,48 +9,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, numbered, pick, unclashed, written
+from ..functions.tensor import bound
+from .common import BLANKS, ascii_lower, numbered, unclashed, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Lists of dropped places go to the texts by broadcast up to so many texts and places (8 bytes and less each).
+BROADCAST_TEXTS, BROADCAST_PLACES = 500_000, 4_000_000
 
 
-def key_hashes(lines: Column, min_chars: int) -> Column:
-    """For each line 128 bits of its key: the line without blanks at its ends, A-Z in lower case.
-
-    Null for keys of fewer code points than min_chars. One step an array, so nothing is worked out
-    twice for a line.
-    """
-    trimmed = F.transform(lines, lambda x: F.trim(x, F.lit(BLANKS)))
-    keys = F.transform(trimmed, lambda t: F.when(F.length(t) >= min_chars, ascii_lower(t)))
-    return F.transform(keys, lambda k: F.when(k.isNotNull(), F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(7), k).alias("b"))))
+def without(lines: Column, places: Column) -> Column:
+    """The lines but those at some places (sorted, from 1): the runs between them, each copied once."""
+    cuts = F.concat(F.array(F.lit(0)), places, F.array(F.size(lines) + 1))
+    run = lambda c: lambda k: F.slice(lines, F.get(c, k) + 1, F.get(c, k + 1) - F.get(c, k) - 1)
+    return bound(cuts, lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 2), run(c))))
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """df with text without its repeated lines, and n_lines, n_dropped.
 
-    Keys of at least min_chars code points that occur in at least min_docs documents stay only in the
-    document with the largest id. Hashes are written once to the shared folder and counted there
-    (combined before the shuffle, so a hot line is one row a task; its documents' rows in the join
-    behind it are split as any skewed side of a join is), and the lists of dropped hashes come back to the texts by
-    document id; no line's documents are ever gathered in one place.
+    A line's key is the line without blanks at its ends, A-Z in lower case, held as 128 bits. Keys of at least min_chars
+    code points that occur in at least min_docs documents stay only in the document with the largest
+    id. Every line is hashed once, into a table of the shared folder, and distinct documents are counted there
+    (combined before the shuffle, so a hot line is one row a task and document; its documents' rows in the join
+    behind it are split as any skewed side of a join is). What comes back to the texts is the places of their dropped
+    lines, by document id and hash of the text: no line's documents are ever gathered in one place, and
+    texts stay where they are while the lists are few enough to broadcast.
 
     A null or empty text is one empty line and comes out as ''. Null ids count as one document below
-    all others. Rows that repeat an id are one document: they count once and lose the same lines. An
-    empty table gives an empty one. Input columns n_lines and n_dropped come out as <name>_in; every
-    other column passes.
+    all others. Rows that repeat an id are one document: they count once and lose the same lines,
+    whether their texts are equal or not. A very long text is one task's work at a time, in proportion to its
+    length, however many of its lines go. An empty table gives an empty one. Input columns n_lines and
+    n_dropped come out as <name>_in; every other column passes.
     """
-    two = pick(df, [key, text]).toDF("id", "text")
-    lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n", -1)
-    hashes = F.array_distinct(F.filter(key_hashes(lines(F.col("text")), min_chars), lambda h: h.isNotNull()))
-    held = written(two.select("id", F.explode(hashes).alias("h")), "lines")
-    counted = held.dropDuplicates(["h", "id"]).groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
-    drops = held.join(counted, "h").filter(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("h").alias("gone"))
     rows, own = numbered(df)
     id_, body = F.col(f"in_{own.index(key)}"), f"in_{own.index(text)}"
-    joined = rows.join(drops, id_.eqNullSafe(drops["id"]), "left").withColumn("all", lines(F.col(body)))
-    marked = F.arrays_zip(F.col("all").alias("line"), key_hashes(F.col("all"), min_chars).alias("h"))
-    stay = F.filter(marked, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), x["h"]), F.lit(False)))
-    joined = joined.withColumn("kept", F.when(F.col("gone").isNull(), F.col("all")).otherwise(stay["line"]))
-    out = [F.array_join("kept", "\n").alias(c) if c == body else F.col(c) for c in rows.columns]
+    whole = F.coalesce(F.col(body), F.lit(""))
+    name, lines = F.xxhash64(whole), F.split(whole, "\n", -1)
+    every = rows.select(id_.alias("id"), name.alias("name"), F.posexplode(lines).alias("place", "line")).withColumn("k", F.trim("line", F.lit(BLANKS)))
+    keyed = every.filter(F.length("k") >= min_chars).withColumn("k", ascii_lower(F.col("k")))
+    held = written(keyed.select("id", "name", (F.col("place") + 1).alias("place"), F.xxhash64("k").alias("a"), F.xxhash64(F.lit(7), "k").alias("b")), "lines")
+    counted = held.select("a", "b", "id").distinct().groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
+    gone = held.join(counted, ["a", "b"]).filter(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id", "name").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    gone = written(gone, "places")
+    texts, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    side = F.broadcast(gone) if texts <= BROADCAST_TEXTS and places <= BROADCAST_PLACES else gone
+    met = rows.withColumn("name", name).join(side.toDF("gone_id", "gone_name", "places"), (F.col("name") == F.col("gone_name")) & id_.eqNullSafe(F.col("gone_id")), "left").withColumn("all", lines)
+    kept = F.when(F.col("places").isNull(), whole).otherwise(F.array_join(without(F.col("all"), F.col("places")), "\n"))
+    out = [kept.alias(c) if c == body else F.col(c) for c in rows.columns]
+    dropped = F.when(F.col("places").isNull(), F.lit(0)).otherwise(F.size("places")).cast("long")
     added = ["n_lines", "n_dropped"]
-    return joined.select(*out, F.size("all").cast("long").alias("n_lines"), (F.size("all") - F.size("kept")).cast("long").alias("n_dropped")).toDF(*unclashed(own, added), *added)
+    return met.select(*out, F.size("all").cast("long").alias("n_lines"), dropped.alias("n_dropped")).toDF(*unclashed(own, added), *added)

@@ -61,3 +61,22 @@ def test_repeated_rows_are_one_document(spark):
 def test_empty(spark):
     assert line_dedup.dedup_lines(no_docs(spark)).count() == 0
     assert "op4_line_dedup" in queries.ORACLES
+
+
+def test_long_text_of_repeated_lines(spark):
+    """A text of 200,000 lines, half of which go: in proportion to its length, not to lines times dropped lines."""
+    line = lambda k: f"line number {k}, of forty characters at the least"
+    long = "\n".join(line(i) for i in range(200_000))
+    short = [(i, "\n".join(line(k) for k in range(0, 200_000, 2))) for i in range(2, 6)]
+    docs = spark.createDataFrame([(1, long), *short], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[1]["n_lines"] == 200_000 and got[1]["n_dropped"] == 100_000 and got[5]["n_dropped"] == 0
+    assert got[1]["text"] == "\n".join(line(i) for i in range(1, 200_000, 2)) and got[2]["text"] == ""
+
+
+def test_lists_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_TEXTS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", 0)
+    docs = awkward_docs(spark)
+    got = [(r[0], r[1], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs).collect()]
+    assert order(got) == order(slow([(r[0], r[1]) for r in docs.collect()]))
