@@ -18,7 +18,10 @@ BROADCAST_TEXTS, BROADCAST_PLACES = 500_000, 4_000_000
 
 
 def without(lines: Column, places: Column) -> Column:
-    """The lines but those at some places (sorted, from 1): the runs between them, each copied once."""
+    """The lines but those at some places (sorted, from 1): the runs between them, each copied once.
+
+    Linear where the lines are bound within one expression; an array column would be decoded anew for each run.
+    """
     cuts = F.concat(F.array(F.lit(0)), places, F.array(F.size(lines) + 1))
     run = lambda c: lambda k: F.slice(lines, F.get(c, k) + 1, F.get(c, k + 1) - F.get(c, k) - 1)
     return bound(cuts, lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 2), run(c))))
@@ -45,7 +48,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
     id_, body = F.col(f"in_{own.index(key)}"), f"in_{own.index(text)}"
     whole = F.coalesce(F.col(body), F.lit(""))
     name, lines = F.xxhash64(whole), F.split(whole, "\n", -1)
-    every = rows.select(id_.alias("id"), name.alias("name"), F.posexplode(lines).alias("place", "line")).withColumn("k", F.trim("line", F.lit(BLANKS)))
+    named = rows.select(id_.alias("id"), name.alias("name"), whole.alias("whole"))  # one hash a text, not one a line
+    every = named.select("id", "name", F.posexplode(F.split("whole", "\n", -1)).alias("place", "line")).withColumn("k", F.trim("line", F.lit(BLANKS)))
     keyed = every.filter(F.length("k") >= min_chars).withColumn("k", ascii_lower(F.col("k")))
     held = written(keyed.select("id", "name", (F.col("place") + 1).alias("place"), F.xxhash64("k").alias("a"), F.xxhash64(F.lit(7), "k").alias("b")), "lines")
     counted = held.select("a", "b", "id").distinct().groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
@@ -53,9 +57,10 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
     gone = written(gone, "places")
     texts, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
     side = F.broadcast(gone) if texts <= BROADCAST_TEXTS and places <= BROADCAST_PLACES else gone
-    met = rows.withColumn("name", name).join(side.toDF("gone_id", "gone_name", "places"), (F.col("name") == F.col("gone_name")) & id_.eqNullSafe(F.col("gone_id")), "left").withColumn("all", lines)
-    kept = F.when(F.col("places").isNull(), whole).otherwise(F.array_join(without(F.col("all"), F.col("places")), "\n"))
+    met = rows.withColumn("name", name).join(side.toDF("gone_id", "gone_name", "places"), (F.col("name") == F.col("gone_name")) & id_.eqNullSafe(F.col("gone_id")), "left")
+    kept = F.when(F.col("places").isNull(), whole).otherwise(bound(lines, lambda every: F.array_join(without(every, F.col("places")), "\n")))
     out = [kept.alias(c) if c == body else F.col(c) for c in rows.columns]
     dropped = F.when(F.col("places").isNull(), F.lit(0)).otherwise(F.size("places")).cast("long")
     added = ["n_lines", "n_dropped"]
-    return met.select(*out, F.size("all").cast("long").alias("n_lines"), dropped.alias("n_dropped")).toDF(*unclashed(own, added), *added)
+    breaks = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit("")))
+    return met.select(*out, (breaks + 1).cast("long").alias("n_lines"), dropped.alias("n_dropped")).toDF(*unclashed(own, added), *added)
