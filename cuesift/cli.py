@@ -11,8 +11,9 @@ from .functions.encoder import PRESETS, Encoder, model_files
 from .functions.text import fix_query
 from .operators.batching import BATCH, embed
 from .operators.search import MIN_P, TOP_K, presented, search
-from .progress import init_log
-from .sources.captions import read_chunks
+from .progress import counted, init_log
+from .shared import written
+from .sources.captions import chunks_of, find_files
 from .sources.index import read_index, write_index
 from .sources.safetensors import SafeTensors
 from .sources.vocab import load_vocab
@@ -39,7 +40,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[tuple[int, str, s
     weights, vocab_path, config = model_files(args.model)
     weights, vocab = args.weights or weights, load_vocab(args.vocab or vocab_path)
     if args.action == "save":
-        write_index(embed(read_chunks(spark, args.subs), vocab, weights, config, args.batch), args.index, args.model, config.hidden, mode="overwrite")
+        paths = find_files(args.subs)
+        with counted(spark.sparkContext, "files", len(paths)) as done:
+            chunks = written(chunks_of(spark, paths, done=done), "chunks")
+        with counted(spark.sparkContext, "chunks", chunks.count()) as done:
+            write_index(embed(chunks, vocab, weights, config, args.batch, done=done), args.index, args.model, config.hidden, mode="overwrite")
     index = read_index(spark, args.index, args.model)
     query = fix_query(args.query)
     vector = Encoder(SafeTensors(weights).all(), config).embed([vocab.encode(query)])[0].tolist()

@@ -34,28 +34,30 @@ def model_files(name: str) -> tuple[str, str, Config]:
 
 
 def erf(x: np.ndarray) -> np.ndarray:
-    t = 1 / (1 + np.float32(0.3275911) * np.abs(x))
+    of = x.dtype.type
+    t = 1 / (1 + of(0.3275911) * np.abs(x))
     poly = np.full_like(t, ERF[0])
     for c in ERF[1:]:
-        poly = poly * t + np.float32(c)
-    return np.where(x < 0, -1, 1).astype(np.float32) * (1 - poly * t * np.exp(-x * x))
+        poly = poly * t + of(c)
+    return np.where(x < 0, -1, 1).astype(x.dtype) * (1 - poly * t * np.exp(-x * x))
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * x * (1 + erf(x / np.float32(np.sqrt(2))))
+    of = x.dtype.type
+    return of(0.5) * x * (1 + erf(x / of(np.sqrt(2))))
 
 
 def normed(x: np.ndarray, gamma: np.ndarray, beta: np.ndarray, eps: float) -> np.ndarray:
     centred = x - x.mean(-1, keepdims=True)
-    return centred / np.sqrt((centred * centred).mean(-1, keepdims=True) + np.float32(eps)) * gamma + beta
+    return centred / np.sqrt((centred * centred).mean(-1, keepdims=True) + x.dtype.type(eps)) * gamma + beta
 
 
 class Encoder:
-    """Weights by name (with or without a leading 'bert.') and the forward pass."""
+    """Weights by name (with or without a leading 'bert.') and the forward pass, in single or double precision."""
 
-    def __init__(self, weights: dict[str, np.ndarray], config: Config):
-        self.config = config
-        self.weights = {k.removeprefix("bert.") if k.removeprefix("bert.") not in weights else k: v for k, v in weights.items()}
+    def __init__(self, weights: dict[str, np.ndarray], config: Config, dtype: type = np.float32):
+        self.config, self.dtype = config, np.dtype(dtype)
+        self.weights = {k.removeprefix("bert.") if k.removeprefix("bert.") not in weights else k: np.asarray(v, dtype) for k, v in weights.items()}
         self.types = self["embeddings.token_type_embeddings.weight"][0]
 
     def __getitem__(self, name: str) -> np.ndarray:
@@ -72,7 +74,7 @@ class Encoder:
         heads = self.config.heads
         split = lambda y: y.reshape(n, length, heads, hidden // heads).transpose(0, 2, 1, 3)
         q, k, v = (split(self._linear(x, f"{at}.attention.self.{w}")) for w in ("query", "key", "value"))
-        scores = q @ k.transpose(0, 1, 3, 2) * np.float32(1 / np.sqrt(hidden // heads)) + block_out
+        scores = q @ k.transpose(0, 1, 3, 2) * self.dtype.type(1 / np.sqrt(hidden // heads)) + block_out
         scores = np.exp(scores - scores.max(-1, keepdims=True))
         context = (scores / scores.sum(-1, keepdims=True)) @ v
         merged = context.transpose(0, 2, 1, 3).reshape(n, length, hidden)
@@ -83,12 +85,12 @@ class Encoder:
     def forward(self, sequences: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """Last hidden states (n, longest, hidden) and the mask of real tokens; shorter sequences are padded with id 0."""
         longest = max(map(len, sequences))
-        ids, mask = np.zeros((len(sequences), longest), np.int64), np.zeros((len(sequences), longest), np.float32)
+        ids, mask = np.zeros((len(sequences), longest), np.int64), np.zeros((len(sequences), longest), self.dtype)
         for i, s in enumerate(sequences):
             ids[i, : len(s)], mask[i, : len(s)] = s, 1
         x = self["embeddings.word_embeddings.weight"][ids] + self["embeddings.position_embeddings.weight"][:longest] + self.types
-        x = self._norm(x.astype(np.float32), "embeddings.LayerNorm")
-        block_out = np.where(mask[:, None, None, :] > 0, np.float32(0), np.float32(-1e30))
+        x = self._norm(x, "embeddings.LayerNorm")
+        block_out = np.where(mask[:, None, None, :] > 0, 0, -1e30).astype(self.dtype)
         for i in range(self.config.layers):
             x = self._layer(x, block_out, f"encoder.layer.{i}")
         return x, mask
@@ -97,4 +99,4 @@ class Encoder:
         """Unit vectors, one a sequence; padding takes no part, so neighbours in a batch don't matter."""
         x, mask = self.forward(sequences)
         pooled = x[:, 0] if self.config.pooling == "cls" else (x * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
-        return (pooled / np.maximum(np.sqrt((pooled * pooled).sum(1, keepdims=True)), np.float32(1e-12))).astype(np.float32)
+        return (pooled / np.maximum(np.sqrt((pooled * pooled).sum(1, keepdims=True)), self.dtype.type(1e-12))).astype(self.dtype)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 MAX_LEN, MAX_WORD = 256, 100
+#: So many characters of a text are looked at first, then eight times as many.
+PART = 4096
 SPECIAL = ("[CLS]", "[SEP]", "[PAD]", "[UNK]")
 _BASIC = regex.compile(r"[\p{Alphabetic}\p{N}]+|[^\p{Alphabetic}\p{N}\p{White_Space}\p{Cc}]")
 
@@ -50,13 +54,19 @@ class WordPiece:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        """[CLS], pieces, [SEP]: at most max_len ids."""
-        ids = [self.cls]
-        for word in _BASIC.findall("".join(c.lower() for c in text) if not text.isascii() else text.lower()):
-            if len(ids) >= self.max_len - 1:
-                break
-            ids += self.word(word)
-        return ids[: self.max_len - 1] + [self.sep]
+        """[CLS], pieces, [SEP]: at most max_len ids. No more of the text is looked at than they need."""
+        size = PART
+        while True:
+            part = text[:size]
+            low = part.lower() if part.isascii() else "".join(c.lower() for c in part)
+            ids, whole = [self.cls], size >= len(text)
+            for m in _BASIC.finditer(low):
+                if len(ids) >= self.max_len - 1 or not whole and m.end() == len(low):  # a word that may go on
+                    break
+                ids += self.word(m.group())
+            if whole or len(ids) >= self.max_len - 1:
+                return ids[: self.max_len - 1] + [self.sep]
+            size *= 8
 
     def decode(self, ids: list[int]) -> list[str]:
         return [self.lines[i] for i in ids]
@@ -74,13 +84,15 @@ def encode(spark: SparkSession, vocab: WordPiece, text: Column) -> Column:
 
 
 def decode(vocab: WordPiece, ids: Column) -> Column:
-    """array<string> of the tokens as they stand in the vocabulary."""
-    table = F.array(*[F.lit(t) for t in vocab.lines]) if len(vocab.lines) <= 1000 else None
-    if table is not None:
-        return F.transform(ids, lambda i: F.element_at(table, i + 1))
+    """array<string> of the tokens as they stand in the vocabulary; an id outside it is an error."""
 
     @arrow_udf("array<string>")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([vocab.decode(x.as_py()) if x.is_valid else None for x in column], pa.list_(pa.string()))
+        flat = column.flatten()
+        if len(flat) and not 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < len(vocab.lines):
+            raise ValueError("an id lies outside the vocabulary")
+        tokens = pc.take(pa.array(vocab.lines, pa.string()), flat)
+        ends = np.r_[0, np.cumsum(np.asarray(column.value_lengths().fill_null(0)))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens, mask=column.is_null())
 
     return run(ids)

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-from collections.abc import Callable
+import io
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..files import write_bytes
 from ..functions import tensor, text
-from ..functions.encoder import Config
+from ..functions.encoder import PRESETS, Config, model_files
 from ..functions.wordpiece import WordPiece, decode, encode
 from ..operators.batching import embed, length_batches
 from ..operators.captions import caption_chunks, caption_words
 from ..operators.collapse import collapse_words
 from ..operators.search import presented, search, video_link
 from ..operators.windowing import sliding_chunks
+from ..progress import Progress
 from ..shared import scratch
+from ..sources.captions import read_chunks
 from ..sources.index import export_files, import_files, missing_videos, read_index, with_vectors, write_index
 from ..sources.safetensors import read_safetensors, write
 from ..sources.vocab import read_vocab
@@ -181,7 +186,42 @@ def collapse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_words(table(spark, sf_dir, "documents"), "doc_id", "text", 3)
 
 
-@register("collapse_full")
+def collapse_sql(texts: str, passes: int = 5, most: int = 4, keep: int = 3) -> str:
+    """The repeated collapse of runs over (id, text), as (id, collapsed): pass by pass until no row changes.
+
+    Where a pass may cut a run is known for each word beforehand (f: the shortest n-gram whose run is long enough); the recursive
+    part only follows, text by text, from the end of one cut run to the next place to cut. A text that still changes after
+    the last pass is an error.
+    """
+    norm = r"lower(regexp_replace(t, '[^\p{L}\p{N}'']', '', 'g'))"
+    steps = [
+        rf"src as ({texts})",
+        r"split_up as (select id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') as ts from src)",
+        f"w0 as (select id, i, t, {norm} as n from (select id, unnest(ts) as t, unnest(range(len(ts))) as i from split_up))",
+    ]
+    ends = []
+    for k in range(passes):
+        same = ", ".join(f"coalesce(n = lead(n, {g}) over o, false) as e{g}" for g in range(1, most + 1))
+        some = ", ".join(f"max((n <> '')::int) over (partition by id order by i rows between current row and {g - 1} following) as z{g}" for g in range(1, most + 1))
+        steps.append(f"a{k} as (select *, {some}, {same} from w{k} window o as (partition by id order by i))")
+        runs = ", ".join(f"coalesce(min(case when not e{g} then i end) over ahead, i) - i as r{g}" for g in range(1, most + 1))
+        steps.append(f"b{k} as (select *, {runs} from a{k} window ahead as (partition by id order by i rows between current row and unbounded following))")
+        found = " ".join(f"when z{g} = 1 and r{g} >= {keep * g} then {g}" for g in range(1, most + 1))
+        steps.append(f"f{k} as (select id, i, g, i + g * ((case g {' '.join(f'when {g} then r{g}' for g in range(1, most + 1))} end) // g + 1) as stop from (select *, case {found} end as g from b{k}) where g is not null)")
+        steps.append(f"j{k} as (select a.id, a.i, a.g, a.stop, b.i as nxt from f{k} a asof left join f{k} b on a.id = b.id and a.stop <= b.i)")
+        steps.append(f"c{k} as (select id, i, g, stop, nxt from j{k} where (id, i) in (select id, min(i) from f{k} group by id) union all select j.id, j.i, j.g, j.stop, j.nxt from c{k} c join j{k} j on c.id = j.id and c.nxt = j.i)")
+        steps.append(f"t{k} as (select w.id, w.i, w.t, c.i as at, c.g, c.stop from w{k} w asof left join c{k} c on w.id = c.id and w.i >= c.i)")
+        cut = rf"regexp_replace(x.t, '[^\p{{L}}\p{{N}}'']+$', '') || case when regexp_matches(y.t, '[\p{{L}}\p{{N}}'']') then regexp_extract(y.t, '[^\p{{L}}\p{{N}}'']*$') else '' end"
+        kept = f"select x.id, x.i, case when x.i = x.at + {keep} * x.g - 1 then {cut} else x.t end as t from t{k} x left join w{k} y on y.id = x.id and y.i = x.stop - 1 and x.i = x.at + {keep} * x.g - 1 where x.at is null or x.i < x.at + {keep} * x.g or x.i >= x.stop"
+        # Only texts that changed go on to the next pass.
+        steps.append(f"w{k + 1} as (select id, row_number() over (partition by id order by i) - 1 as i, t, {norm} as n from ({kept}) where id in (select id from f{k}))")
+        ends.append(f"select id, string_agg(t, ' ' order by i) as collapsed from w{k} where id not in (select id from f{k}) group by id")
+    ends.append(f"select id, error('a text changes still') as collapsed from w{passes} group by id")
+    steps.append(f"ended as ({' union all '.join(ends)})")
+    return f"with recursive {', '.join(steps)} select src.id, coalesce(collapsed, '') as collapsed from src left join ended on src.id = ended.id"
+
+
+@register("collapse_full", f"select id as doc_id, collapsed from ({collapse_sql('select doc_id as id, text from documents')})")
 def collapse_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.collapse(F.col("text")).alias("collapsed"))
 
@@ -202,8 +242,6 @@ select conv_id, turn, case when k is null then a || ' ' || b else array_to_strin
 )
 def merge_overlap_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn, prolonged by the first two words of the next one, merged with that next one."""
-    from pyspark.sql.window import Window
-
     rows = table(spark, sf_dir, "conversations").withColumn("b", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("b is not null")
     a = F.concat("text", F.lit(" "), F.array_join(F.slice(text.ws_tokens(F.col("b")), F.lit(1), F.lit(2)), " "))
     return rows.select("conv_id", "turn", text.merge_overlap(a, F.col("b"), 2).alias("merged"))
@@ -231,30 +269,74 @@ def parse_timecode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_captions(conversations: DataFrame) -> DataFrame:
-    """Each conversation as a caption file: a cue every ten seconds, a turn on one line, with tags and a channel mark."""
-    at = F.format_string("%02d:%02d:%02d.000", F.floor(F.col("turn") / 360), F.floor(F.col("turn") / 6) % 60, (F.col("turn") % 6) * 10)
+    """Each conversation as a caption file: a cue every ten seconds, a turn on one line, with tags and a channel mark.
+
+    Every second cue has a blank line and a further line with a time tag and the mask of a swear word. Every third cue
+    repeats the last line before it first, as captions that roll up do; every third has another first line, which isn't a repeat.
+    """
+    code = lambda seconds: F.format_string("%02d:%02d:%02d.000", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
+    at = F.col("turn") * 10
     line = F.translate(F.coalesce("text", F.lit("")), "\n\r\t", "   ")
-    cue = F.concat(at, F.lit(" --> "), at, F.lit("\n<c>"), line, F.lit("</c>&gt;&gt;"))
-    cues = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("cues"))
+    more = F.concat(F.lit("and More<"), code(at + 5), F.lit("><c> then</c> [&nbsp;__&nbsp;]"))
+    even = F.col("turn") % 2 == 0
+    last = F.when(even, F.lit("and More then [&nbsp;__&nbsp;]")).otherwise(F.concat(text.strip_tags(line), F.lit("&gt;&gt;")))
+    rows = conversations.select("conv_id", "turn", code(at).alias("code"), line.alias("line"), more.alias("more"), even.alias("even"), F.lag(last).over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"))
+    first = F.when((F.col("turn") % 3 == 1) & F.col("before").isNotNull(), F.concat("before", F.lit(" \n"))).when(F.col("turn") % 3 == 2, F.lit("Note\n")).otherwise(F.lit(""))
+    rest = F.when(F.col("even"), F.concat(F.lit("\n \t\n"), F.col("more"))).otherwise(F.lit(""))
+    cue = F.concat("code", F.lit(" --> "), "code", F.lit("\n"), first, F.lit("<c>"), "line", F.lit("</c>&gt;&gt;"), rest)
+    cues = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("cues"))
     return cues.select("conv_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join("cues.cue", "\n\n")).alias("source"))
 
 
-@register(
-    "caption_words",
-    r"""
-with w as (select conv_id, turn, list_filter(regexp_split_to_array(lower(translate(text, chr(10) || chr(13) || chr(9), '   ')) || '>>', '\s+'), lambda t: t <> '') as ws from conversations),
-e as (select conv_id, turn, unnest(ws) as text, generate_subscripts(ws, 1) as i from w)
-select conv_id, (row_number() over (partition by conv_id order by turn, i) - 1)::int as seq, text, turn * 10.0::double as t from e""",
-)
+_CAPTION_WORDS = r"""
+with w as (
+  select conv_id, turn, list_concat(case when turn % 3 = 2 then [{'t': 'note', 's': turn * 10.0::double}] else [] end,
+    list_transform(list_filter(regexp_split_to_array(lower(translate(coalesce(text, ''), chr(10) || chr(13) || chr(9), '   ')) || '>>', '\s+'), lambda t: t <> ''), lambda t: {'t': t, 's': turn * 10.0::double}),
+    case when turn % 2 = 0 then [{'t': 'and', 's': turn * 10.0::double}, {'t': 'more', 's': turn * 10.0::double}, {'t': 'then', 's': turn * 10.0::double + 5}, {'t': '[swears]', 's': turn * 10.0::double + 5}] else [] end) as ws
+  from conversations),
+e as (select conv_id, turn, unnest(ws) as x, generate_subscripts(ws, 1) as i from w)
+select conv_id, (row_number() over (partition by conv_id order by turn, i) - 1)::int as seq, x.t as text, x.s as t from e"""
+
+
+@register("caption_words", _CAPTION_WORDS)
 def caption_words_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caption_words(as_captions(table(spark, sf_dir, "conversations")), "conv_id", "source")
 
 
-@register("caption_chunks")
+_CAPTION_CHUNKS = rf"""
+with w as ({_CAPTION_WORDS}),
+s as (select conv_id, arg_min(t, seq) as t0, arg_max(t, seq) as t1 from w group by conv_id),
+x as (select conv_id, unnest(range(floor((t1 - t0) / 15)::bigint + 1)) as g, t0 from s),
+i as (select x.conv_id, g, seq, text, t from x join w on w.conv_id = x.conv_id and t >= t0 + g * 15.0 and t < t0 + g * 15.0 + 30.0),
+c as (select conv_id, g, string_agg(text, ' ' order by seq) as text, min(t) as start, max(t) as "end" from i group by conv_id, g),
+n as (select *, row_number() over (partition by conv_id order by g) - 1 as k from c),
+f as (select id, collapsed from ({collapse_sql("select conv_id || '/' || k as id, replace(replace(replace(replace(replace(text, chr(9), ' '), chr(10), ' '), '>', ''), 'vak', 'vac'), 'vax', 'vac''s') as text from n")}))
+select conv_id, k::int as k, collapsed as text, start, "end" from n join f on f.id = conv_id || '/' || k"""
+
+
+@register("caption_chunks", _CAPTION_CHUNKS)
 def caption_chunks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caption_chunks(as_captions(table(spark, sf_dir, "conversations")), "conv_id", "source")
 
 
+@register("caption_files", f"select conv_id::varchar as vod_id, text, start, \"end\" from ({_CAPTION_CHUNKS})")
+def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks by way of files: <base>/<channel>/raw/<conversation>.en.vtt, beside a file that is no channel."""
+    base = scratch(spark, "subs")
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for conv, source in zip(*[c.to_pylist() for c in batch.columns]):
+                write_bytes(f"{base}/channel{conv % 4}/raw/{conv}.en.vtt", source.encode())
+            yield batch.select(["conv_id"])
+
+    files = as_captions(table(spark, sf_dir, "conversations"))
+    if files.select("conv_id", "source").mapInArrow(save, "conv_id long").count() == 0:
+        return spark.createDataFrame([], "vod_id string, text string, start double, end double")
+    write_bytes(f"{base}/readme.txt", b"no channel")
+    return read_chunks(spark, base).select("vod_id", "text", "start", "end")
+
+
 # -- Windows, tokens, batches ---------------------------------------------------------------
 
 
@@ -269,8 +351,6 @@ select user_id, k::int as k, string_agg(text, ' ' order by n) as text, min(t) as
 )
 def sliding_chunks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-hour windows every three hours over each user's events."""
-    from pyspark.sql.window import Window
-
     in_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
     words = table(spark, sf_dir, "events").select("user_id", F.row_number().over(in_time).alias("seq"), F.col("event_type").alias("text"), (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1e6).alias("t"))
     return sliding_chunks(words, 21600.0, 10800.0, key="user_id")
@@ -441,38 +521,105 @@ def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_index(spark, path, "toy").select("chunk_idx", "vod_id", "start", "embedding")
 
 
-TOY = Config(hidden=32, heads=4, layers=2, intermediate=64)
+TOY = Config(hidden=32, heads=2, layers=1, intermediate=64)
 
 
-def toy_weights(config: Config, vocab: int, positions: int = 256, seed: int = 0) -> dict[str, np.ndarray]:
-    """Seeded weights under the names that such models use."""
-    rng = np.random.default_rng(seed)
-    h, m = config.hidden, config.intermediate
-    draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    out = {"embeddings.word_embeddings.weight": draw(vocab, h), "embeddings.position_embeddings.weight": draw(positions, h), "embeddings.token_type_embeddings.weight": draw(2, h)}
-    norms, lines = ["embeddings.LayerNorm"], []
+def _toy(rows: int, cols: int, seed: int) -> np.ndarray:
+    """A matrix of sixty-fourths, which single precision holds exactly and SQL can work out again."""
+    r, c = np.indices((rows, cols))
+    return (((r * 7 + c * 13 + seed * 5) % 17 - 8) / 64).astype(np.float32)
+
+
+def _toy_lines(config: Config, layer: int) -> list[tuple[str, str, int, int, int]]:
+    """Short name, name, rows, columns and seed of a layer's matrices."""
+    h, m, s = config.hidden, config.intermediate, 10 * layer
+    at = f"encoder.layer.{layer}."
+    return [
+        ("q", f"{at}attention.self.query", h, h, s + 11),
+        ("k", f"{at}attention.self.key", h, h, s + 12),
+        ("v", f"{at}attention.self.value", h, h, s + 13),
+        ("o", f"{at}attention.output.dense", h, h, s + 14),
+        ("up", f"{at}intermediate.dense", m, h, s + 15),
+        ("down", f"{at}output.dense", h, m, s + 16),
+    ]
+
+
+def _toy_norms(layer: int) -> list[tuple[str, int]]:
+    return [(f"encoder.layer.{layer}.attention.output.LayerNorm", 10 * layer + 17), (f"encoder.layer.{layer}.output.LayerNorm", 10 * layer + 18)]
+
+
+def toy_weights(config: Config, vocab: int, positions: int = 256) -> dict[str, np.ndarray]:
+    """Toy weights under the names that such models use."""
+    h = config.hidden
+    out = {"embeddings.word_embeddings.weight": _toy(vocab, h, 1), "embeddings.position_embeddings.weight": _toy(positions, h, 2), "embeddings.token_type_embeddings.weight": _toy(2, h, 3)}
+    norms = [("embeddings.LayerNorm", 4)]
     for i in range(config.layers):
-        at = f"encoder.layer.{i}"
-        lines += [(f"{at}.attention.self.{w}", h, h) for w in ("query", "key", "value")] + [(f"{at}.attention.output.dense", h, h), (f"{at}.intermediate.dense", m, h), (f"{at}.output.dense", h, m)]
-        norms += [f"{at}.attention.output.LayerNorm", f"{at}.output.LayerNorm"]
-    for name, rows, cols in lines:
-        out |= {f"{name}.weight": draw(rows, cols), f"{name}.bias": draw(rows)}
-    for name in norms:
-        out |= {f"{name}.weight": 1 + draw(h), f"{name}.bias": draw(h)}
+        for _, name, rows, cols, seed in _toy_lines(config, i):
+            out |= {f"{name}.weight": _toy(rows, cols, seed), f"{name}.bias": _toy(1, rows, seed + 100)[0]}
+        norms += _toy_norms(i)
+    for name, seed in norms:
+        out |= {f"{name}.weight": 1 + _toy(1, h, seed)[0], f"{name}.bias": _toy(1, h, seed + 100)[0]}
     return out
 
 
-def toy_model() -> str:
-    path = os.path.join(tempfile.mkdtemp(prefix="cuesift-toy-"), "model.safetensors")
+def encoder_sql(ids: str, config: Config) -> str:
+    """The whole forward pass over (doc_id, ids), a row a token: norms, attention by head, feed-forward, mean, unit length."""
+    h, d = config.hidden, config.hidden // config.heads
+    cell = lambda r, c, seed: f"(({r} * 7 + {c} * 13 + {seed * 5}) % 17 - 8) / 64::double"
+    vector = lambda n, seed, plus="": f"list_transform(range({n}), lambda c: {plus}{cell('0', 'c', seed)})"
+    steps = [f"tok as (select doc_id, i, ids[i + 1] as id from (select doc_id, ids, unnest(range(len(ids))) as i from ({ids})))"]
+    last = "e0"
+    steps.append(f"e0 as (select doc_id, i, list_transform(range({h}), lambda c: {cell('id', 'c', 1)} + {cell('i', 'c', 2)} + {cell('0', 'c', 3)}) as x from tok)")
+
+    def normed(name: str, source: str, seed: int) -> str:
+        steps.append(f"{name}a as (select doc_id, i, x, list_avg(x) as mu from {source})")
+        steps.append(f"{name}b as (select *, list_avg(list_transform(x, lambda a: (a - mu) * (a - mu))) as var from {name}a)")
+        scaled = f"list_transform(list_zip(x, {vector(h, seed, '1 + ')}, {vector(h, seed + 100)}), lambda z: (z[1] - mu) / sqrt(var + {config.eps!r}::double) * z[2] + z[3])"
+        steps.append(f"{name} as (select doc_id, i, {scaled} as x from {name}b)")
+        return name
+
+    last = normed("n0", last, 4)
+    for layer in range(config.layers):
+        lines = {short: (rows, cols, seed) for short, _, rows, cols, seed in _toy_lines(config, layer)}
+        first, second = (seed for _, seed in _toy_norms(layer))
+
+        n = f"l{layer}"
+        zipped = [f"list_zip(list_transform(range({rows}), lambda r: list_transform(range({cols}), lambda c: {cell('r', 'c', seed)})), {vector(rows, seed + 100)}) as w{short}" for short, (rows, cols, seed) in lines.items()]
+        steps.append(f"{n}z as materialized (select {', '.join(zipped)})")  # worked out once, not for each token
+
+        def linear(short: str, x: str) -> str:
+            return f"list_transform(w{short}, lambda z: list_inner_product(z[1], {x}) + z[2])"
+
+        steps.append(f"{n}q as (select doc_id, i, x, {linear('q', 'x')} as q, {linear('k', 'x')} as k, {linear('v', 'x')} as v from {last}, {n}z)")
+        steps.append(f"{n}kv as (select doc_id, list(k order by i) as k, list(v order by i) as v from {n}q group by doc_id)")
+        part = f"head * {d} + 1:head * {d} + {d}"
+        steps.append(f"{n}h as (select doc_id, head, list_transform(k, lambda a: a[{part}]) as ks, list_transform(range({d}), lambda c: list_transform(v, lambda a: a[head * {d} + c + 1])) as vs from {n}kv, range({config.heads}) t(head))")
+        scores = f"select q.doc_id, q.i, head, vs, list_transform(ks, lambda a: list_inner_product(a, q.q[{part}]) / sqrt({d}::double)) as s from {n}q q join {n}h h on q.doc_id = h.doc_id"
+        weights = f"select doc_id, i, head, vs, list_transform(s, lambda a: exp(a - top)) as w from (select *, list_max(s) as top from ({scores} where q.doc_id % 8 = {{}}))"
+        # Eight branches run side by side; together they hold all documents.
+        steps.append(f"{n}t as ({' union all '.join(f'select doc_id, i, head, list_sum(w) as total, w, vs from ({weights.format(k)})' for k in range(8))})")
+        steps.append(f"{n}c as (select doc_id, i, flatten(list(c order by head)) as c from (select doc_id, i, head, list_transform(vs, lambda a: list_inner_product(a, w) / total) as c from {n}t) group by doc_id, i)")
+        steps.append(f"{n}o as (select q.doc_id, q.i, list_transform(list_zip({linear('o', 'c.c')}, q.x), lambda z: z[1] + z[2]) as x from {n}z, {n}q q join {n}c c on q.doc_id = c.doc_id and q.i = c.i)")
+        a = normed(f"{n}n", f"{n}o", first)
+        steps.append(f"{n}u as (select doc_id, i, x, list_transform({linear('up', 'x')}, lambda x: {_GELU_SQL.replace('4 * x', 'x')}) as u from {a}, {n}z)")
+        steps.append(f"{n}d as (select doc_id, i, list_transform(list_zip({linear('down', 'u')}, x), lambda z: z[1] + z[2]) as x from {n}u, {n}z)")
+        last = normed(f"{n}y", f"{n}d", second)
+    steps.append(f"mean as (select doc_id, list(m order by p) as v from (select doc_id, p, avg(a) as m from (select doc_id, unnest(x) as a, unnest(range({h})) as p from {last}) group by doc_id, p) group by doc_id)")
+    return f"with {', '.join(steps)} select doc_id, {_R6.format('list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12))')} as embedding from mean"
+
+
+def toy_model(spark: SparkSession) -> str:
+    path = f"{scratch(spark, 'toy')}/model.safetensors"
     write(path, toy_weights(TOY, len(TOY_VOCAB)))
     return path
 
 
-@register("embed_texts")
+@register("embed_texts", encoder_sql(ORACLES["wordpiece_encode"], TOY))
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit vectors of all documents under seeded toy weights."""
+    """Unit vectors of all documents under toy weights, in double precision and to six digits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return embed(docs, WordPiece(TOY_VOCAB), toy_model(), TOY, tasks=4 * spark.sparkContext.defaultParallelism).select("doc_id", "embedding")
+    out = embed(docs, WordPiece(TOY_VOCAB), toy_model(spark), TOY, tasks=4 * spark.sparkContext.defaultParallelism, keep=["doc_id"], double=True)
+    return out.select("doc_id", rounded(F.col("embedding")).alias("embedding"))
 
 
 @register(
@@ -481,9 +628,9 @@ def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def read_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three small files, one in each type, through the data source."""
-    folder, parts = tempfile.mkdtemp(prefix="cuesift-toy-"), []
+    folder, parts = scratch(spark, "toy"), []
     for r, dtype in enumerate(("F32", "F16", "BF16")):
-        path = os.path.join(folder, f"{r}.safetensors")
+        path = f"{folder}/{r}.safetensors"
         write(path, {f"w{r}": ((np.arange(4 * (r + 1)) - 6) / 8).reshape(r + 1, 4)}, dtype)
         parts.append(read_safetensors(spark, path))
     return parts[0].union(parts[1]).union(parts[2])
@@ -491,9 +638,8 @@ def read_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("vocab_table", f"select unnest({TOY_VOCAB!r}) as token, (generate_subscripts({TOY_VOCAB!r}, 1) - 1)::int as id")
 def vocab_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(tempfile.mkdtemp(prefix="cuesift-toy-"), "vocab.txt")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(TOY_VOCAB))
+    path = f"{scratch(spark, 'toy')}/vocab.txt"
+    write_bytes(path, "\n".join(TOY_VOCAB).encode())
     return read_vocab(spark, path)
 
 
@@ -501,6 +647,53 @@ def vocab_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as vectors.f32 and meta.json, and read again."""
     rows = as_index(table(spark, sf_dir, "embeddings"))
-    path = tempfile.mkdtemp(prefix="cuesift-files-")
+    path = scratch(spark, "files")
     export_files(rows.withColumns({"text": F.concat(F.lit("chunk "), F.col("chunk_idx").cast("string")), "end": F.col("start")}), path)
     return import_files(spark, path, block=1 << 12)
+
+
+@register(
+    "model_registry",
+    """
+select * from (values ('mini-lm', 'models/all-MiniLM-L6-v2/model.safetensors', 'models/all-MiniLM-L6-v2/vocab.txt', 384, 12, 6, 1536), ('gte-small', 'models/gte-small/model.safetensors', 'models/gte-small/vocab.txt', 384, 12, 12, 1536),
+  ('gte-base', 'models/gte-base/model.safetensors', 'models/gte-base/vocab.txt', 768, 12, 12, 3072), ('e5-large', 'models/e5-large/model.safetensors', 'models/e5-large/vocab.txt', 1024, 16, 24, 4096))
+  t(model, weights, vocab, hidden, heads, layers, intermediate), (select 1e-12::double as eps, 'mean' as pooling)""",
+)
+def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known models: their files and shapes."""
+    rows = [(name, weights, vocab, c.hidden, c.heads, c.layers, c.intermediate, c.eps, c.pooling) for name in PRESETS for weights, vocab, c in [model_files(name)]]
+    return spark.createDataFrame(rows, "model string, weights string, vocab string, hidden int, heads int, layers int, intermediate int, eps double, pooling string")
+
+
+@register("weight_lookup", "select * from (values ('a', [1.0, 2.0]::float[]), ('b', [3.0]::float[]), ('c', null)) t(name, values)")
+def weight_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tensors by name, or by 'bert.' and the name where that is missing; c is in no form there."""
+    path = f"{scratch(spark, 'toy')}/names.safetensors"
+    write(path, {"a": np.array([1.0, 2.0]), "bert.a": np.array([9.0]), "bert.b": np.array([3.0])})
+    held = read_safetensors(spark, path).select(F.col("name").alias("stored"), "values")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    exact, prefixed = held.toDF("name", "exact"), held.select(F.substring("stored", 6, 1 << 20).alias("name"), F.col("values").alias("prefixed")).join(held.select("stored").filter("stored like 'bert.%'"), F.concat(F.lit("bert."), F.col("name")) == F.col("stored")).drop("stored")
+    return asked.join(exact, "name", "left").join(prefixed, "name", "left").select("name", F.coalesce("exact", "prefixed").alias("values"))
+
+
+@register(
+    "matrix_rows",
+    f"select vec_id, i, list_transform({_E}[i * 10 + 1:i * 10 + 10], lambda x: round(x, 6) + 0.0) as row, (len(embedding) + 9) // 10 as parts, list_transform(range(3), lambda x: 0.0::double) as blank from embeddings, (values (0), (5)) t(i)",
+)
+def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 0 and 5 of each vector as a flat matrix of 10 columns (the last one is short), its ceiling-divided size, and zeros."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", tensor.from_vec(F.col("embedding").cast("array<double>"), 8, 8).alias("m"))
+    part = lambda i: F.struct(F.lit(i).alias("i"), tensor.row(F.col("m"), i, 10).alias("row"))
+    out = rows.select("vec_id", F.inline(F.array(part(0), part(5))), tensor.div_up(F.size("m"), 10).alias("parts"))
+    return out.select("vec_id", "i", rounded(F.col("row")).alias("row"), "parts", tensor.zeros(3).alias("blank"))
+
+
+@register("progress_lines", "select n as done, (100 * n // 7)::int as percent from range(8) t(n)")
+def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a progress line of seven items shows as they finish."""
+    out = io.StringIO()
+    progress = Progress("items", 7, out)
+    for _ in range(7):
+        progress.tick()
+    shown = [int(x) for x in re.findall(r"(\d+)%", out.getvalue())]
+    return spark.createDataFrame(list(enumerate(shown)), "done long, percent int")

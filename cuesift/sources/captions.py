@@ -10,8 +10,10 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 
+from ..files import entries, folders, read_bytes
 from ..functions.captions import file_chunks, parse_captions
 
 CHUNKS = "chunk_idx long, vod_id string, text string, start double, end double"
@@ -22,21 +24,14 @@ PER_FILE = 1 << 24
 
 def find_files(base: str) -> list[str]:
     """All entries of <base>/<channel>/raw, whatever their names, sorted. A base or raw folder that is missing is an error."""
-    found = []
-    with os.scandir(os.path.realpath(base, strict=True)) as channels:
-        for channel in channels:
-            if channel.is_dir(follow_symlinks=False):
-                raw = os.path.join(channel.path, "raw")
-                found += [os.path.join(raw, name) for name in os.listdir(raw)]
-    return sorted(found)
+    return sorted(path for channel in folders(base) for path in entries(f"{channel}/raw"))
 
 
 def read_file(path: str) -> str:
-    with open(path, encoding="utf-8", errors="strict", newline="") as f:
-        return f.read()
+    return read_bytes(path).decode("utf-8")
 
 
-def _over_files(spark: SparkSession, paths: list[str], first: int, rows: Callable[[int, str], list[tuple]], schema: str, per_task: int = 64) -> DataFrame:
+def _over_files(spark: SparkSession, paths: list[str], first: int, rows: Callable[[int, str], list[tuple]], schema: str, done: Accumulator | None = None, per_task: int = 64) -> DataFrame:
     names = [c.split(" ")[0] for c in schema.split(", ")]
     tasks = max(1, min(len(paths), max(spark.sparkContext.defaultParallelism, -(-len(paths) // per_task))))
     files = spark.createDataFrame([(first + i, p) for i, p in enumerate(paths)], "no long, path string").repartitionByRange(tasks, "no")
@@ -48,6 +43,8 @@ def _over_files(spark: SparkSession, paths: list[str], first: int, rows: Callabl
             for no, path in zip(*[c.to_pylist() for c in batch.columns]):
                 if out := rows(no, path):
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
+                if done is not None:
+                    done.add(1)
 
     return files.mapInArrow(read, schema).select(*names)
 
@@ -62,14 +59,14 @@ def read_words(spark: SparkSession, base: str) -> DataFrame:
     return _over_files(spark, find_files(base), 0, rows, WORDS)
 
 
-def chunks_of(spark: SparkSession, paths: list[str], first: int = 0) -> DataFrame:
-    """Cleaned 30-second chunks of these files; an unreadable one fails its task and so the job."""
+def chunks_of(spark: SparkSession, paths: list[str], first: int = 0, done: Accumulator | None = None) -> DataFrame:
+    """Cleaned 30-second chunks of these files; an unreadable one fails its task and so the job. done counts files."""
 
     def rows(no: int, path: str) -> list[tuple]:
         return [(no * PER_FILE + i, *c_values) for i, c in enumerate(file_chunks(os.path.basename(path), read_file(path))) for c_values in [(c.vod_id, c.text, c.start, c.end)]]
 
-    return _over_files(spark, paths, first, rows, CHUNKS)
+    return _over_files(spark, paths, first, rows, CHUNKS, done)
 
 
-def read_chunks(spark: SparkSession, base: str) -> DataFrame:
-    return chunks_of(spark, find_files(base))
+def read_chunks(spark: SparkSession, base: str, done: Accumulator | None = None) -> DataFrame:
+    return chunks_of(spark, find_files(base), done=done)

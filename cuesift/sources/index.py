@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import struct
 
 import numpy as np
@@ -11,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BUCKETS = 64
+from ..files import open_output, read_bytes, size_of
+from ..shared import written
+
+BUCKETS, TASK_BYTES = 64, 128 << 20
 META = "model string, dim int, buckets int, schema string"
 
 
@@ -22,7 +24,9 @@ def _bucket(buckets: int) -> object:
 def write_index(df: DataFrame, path: str, model: str, dim: int, buckets: int = BUCKETS, mode: str = "errorifexists") -> None:
     """df (chunk_idx, vod_id, text, start, end, embedding) by buckets of videos, with the model's name and dimension beside it.
 
-    Appending checks both. A video's rows are in one bucket folder; rows are moved once, to write few files.
+    Appending checks both. A video's rows are in one bucket folder. df is written once to the shared
+    folder and its rows counted; these give the number of tasks, each of about TASK_BYTES, so a hot
+    video or bucket is spread over as many files as it needs.
     """
     spark = df.sparkSession
     if mode == "append":
@@ -32,7 +36,11 @@ def write_index(df: DataFrame, path: str, model: str, dim: int, buckets: int = B
         buckets = known["buckets"]
     checked = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector isn't of {dim} components")).cast("array<float>"))
     rows = df.withColumn("embedding", checked).withColumn("bucket", _bucket(buckets))
-    rows.repartition("bucket", F.pmod(F.xxhash64("chunk_idx"), F.lit(8))).write.mode(mode).partitionBy("bucket").parquet(f"{path}/rows")
+    rows = written(rows, "index-rows")  # embedding isn't repeated for the count
+    sizes = rows.groupBy("bucket").agg(F.sum(F.lit(4 * dim + 64) + F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).collect()  # one row a bucket
+    parts = {r["bucket"]: max(1, -(-r["bytes"] // TASK_BYTES)) for r in sizes}
+    salts = F.array(*[F.lit(parts.get(b, 1)).cast("long") for b in range(buckets)])
+    rows.repartition(max(1, sum(parts.values())), "bucket", F.pmod(F.xxhash64("chunk_idx"), F.element_at(salts, F.col("bucket") + 1))).write.mode(mode).partitionBy("bucket").parquet(f"{path}/rows")
     if mode != "append":
         spark.createDataFrame([(model, dim, buckets, rows.schema.json())], META).coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
@@ -76,20 +84,30 @@ def with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def export_files(df: DataFrame, path: str) -> None:
-    """vectors.f32 (dimension, then all components, little-endian) and meta.json, in the order of chunk_idx; rows pass one by one."""
-    os.makedirs(path, exist_ok=True)
-    rows = df.select("vod_id", "text", "start", "end", "embedding").orderBy("chunk_idx") if "chunk_idx" in df.columns else df
-    dim = 0
-    with open(f"{path}/vectors.f32", "wb") as vectors, open(f"{path}/meta.json", "w", encoding="utf-8") as meta:
-        vectors.write(struct.pack("<I", 0))
-        meta.write("[")
-        for i, r in enumerate(rows.toLocalIterator()):
-            dim = dim or len(r["embedding"])
-            vectors.write(np.asarray(r["embedding"], "<f4").tobytes())
-            meta.write("," * (i > 0) + json.dumps({k: r[k] for k in ("vod_id", "text", "start", "end")}, ensure_ascii=False, separators=(",", ":")))
-        meta.write("]")
-        vectors.seek(0)
+    """vectors.f32 (dimension, then all components, little-endian) and meta.json, in the order of chunk_idx.
+
+    The layout is two single files, so the rows pass the driver in order, partition by partition and packed by the tasks.
+    """
+    rows = df.orderBy("chunk_idx") if "chunk_idx" in df.columns else df
+    dim = next(iter(df.select(F.size("embedding")).head(1)), [0])[0]
+    text = F.to_json(F.struct("vod_id", "text", "start", "end"), {"ignoreNullFields": "false"})
+
+    def packed(batches: object) -> object:
+        import pyarrow as pa
+
+        for batch in batches:
+            flat = np.asarray(batch.column(1).flatten(), "<f4")
+            if len(flat) != batch.num_rows * dim:
+                raise ValueError(f"not all vectors are of {dim} components")
+            yield pa.record_batch([pa.array([",".join(batch.column(0).to_pylist())]), pa.array([flat.tobytes()], pa.binary())], names=["meta", "vectors"])
+
+    with open_output(f"{path}/vectors.f32") as vectors, open_output(f"{path}/meta.json") as meta:
         vectors.write(struct.pack("<I", dim))
+        meta.write(b"[")
+        for i, r in enumerate(rows.select(text.alias("meta"), "embedding").mapInArrow(packed, "meta string, vectors binary").toLocalIterator()):
+            vectors.write(bytes(r["vectors"]))
+            meta.write(("," * (i > 0) + r["meta"]).encode())
+        meta.write(b"]")
 
 
 def import_files(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFrame:
@@ -97,9 +115,8 @@ def import_files(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFr
 
     The tasks read their own ranges of the vector file; the metadata is one JSON text.
     """
-    with open(f"{path}/vectors.f32", "rb") as f:
-        (dim,) = struct.unpack("<I", f.read(4))
-    whole = (os.path.getsize(f"{path}/vectors.f32") - 4) // 4
+    (dim,) = struct.unpack("<I", read_bytes(f"{path}/vectors.f32", 0, 4))
+    whole = (size_of(f"{path}/vectors.f32") - 4) // 4
     count = whole // dim if dim else 0
     schema = "array<struct<vod_id: string, text: string, start: double, end: double>>"
     texts = spark.read.text(f"{path}/meta.json", wholetext=True).select(F.posexplode(F.from_json("value", schema)).alias("chunk_idx", "c")).select(F.col("chunk_idx").cast("long").alias("chunk_idx"), "c.*")
@@ -110,7 +127,7 @@ def import_files(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFr
         for batch in batches:
             for first in batch.column("id").to_pylist():
                 n = min(block, count - first)
-                flat = np.fromfile(f"{path}/vectors.f32", "<f4", n * dim, offset=4 + 4 * first * dim)
+                flat = np.frombuffer(read_bytes(f"{path}/vectors.f32", 4 + 4 * first * dim, 4 + 4 * (first + n) * dim), "<f4")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(flat))
                 yield pa.record_batch([pa.array(np.arange(first, first + n)), lists], names=["chunk_idx", "embedding"])
 

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..files import read_bytes, write_bytes
+
 SCHEMA = "name string, dtype string, shape array<bigint>, values array<float>"
 WIDTH = {"F32": 4, "F16": 2, "BF16": 2}
 
@@ -39,9 +41,8 @@ def encode(values: np.ndarray, dtype: str) -> bytes:
 
 def read_header(path: str) -> dict[str, tuple[str, list[int], int, int]]:
     """name to dtype, shape, first and last byte in the file; the metadata entry is left out."""
-    with open(path, "rb") as f:
-        (size,) = struct.unpack("<Q", f.read(8))
-        entries = json.loads(f.read(size))
+    (size,) = struct.unpack("<Q", read_bytes(path, 0, 8))
+    entries = json.loads(read_bytes(path, 8, 8 + size))
     base = 8 + size
     return {k: (v["dtype"], v["shape"], base + v["data_offsets"][0], base + v["data_offsets"][1]) for k, v in entries.items() if k != "__metadata__"}
 
@@ -64,23 +65,21 @@ class SafeTensors:
         if found not in self.header:
             raise KeyError(name)
         dtype, shape, start, end = self.header[found]
-        with open(self.path, "rb") as f:
-            f.seek(start)
-            return decode(f.read(end - start), dtype).reshape(shape)
+        return decode(read_bytes(self.path, start, end), dtype).reshape(shape)
 
     def all(self) -> dict[str, np.ndarray]:
         return {name: self.tensor(name) for name in self.header}
 
 
 def write(path: str, tensors: dict[str, np.ndarray], dtype: str = "F32") -> None:
-    entries, body = {}, b""
+    entries, bodies, at = {}, [], 0
     for name, values in tensors.items():
         raw = encode(values, dtype)
-        entries[name] = {"dtype": dtype, "shape": list(values.shape), "data_offsets": [len(body), len(body) + len(raw)]}
-        body += raw
+        entries[name] = {"dtype": dtype, "shape": list(values.shape), "data_offsets": [at, at + len(raw)]}
+        bodies.append(raw)
+        at += len(raw)
     head = json.dumps({"__metadata__": {"format": "pt"}, **entries}).encode()
-    with open(path, "wb") as f:
-        f.write(struct.pack("<Q", len(head)) + head + body)
+    write_bytes(path, b"".join([struct.pack("<Q", len(head)), head, *bodies]))
 
 
 class _Tensor(InputPartition):
@@ -96,9 +95,7 @@ class _Reader(DataSourceReader):
         return [_Tensor(name, *entry) for name, entry in read_header(self.path).items()]
 
     def read(self, part: _Tensor) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
-            f.seek(part.start)
-            yield part.name, part.dtype, part.shape, decode(f.read(part.end - part.start), part.dtype).tolist()
+        yield part.name, part.dtype, part.shape, decode(read_bytes(self.path, part.start, part.end), part.dtype).tolist()
 
 
 class SafetensorsSource(DataSource):

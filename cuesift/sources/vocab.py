@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import read_bytes
 from ..functions.wordpiece import MAX_LEN, WordPiece
 
 
 def vocab_lines(path: str) -> list[str]:
-    with open(path, encoding="utf-8", newline="") as f:
-        lines = f.read().split("\n")
+    lines = read_bytes(path).decode().split("\n")
     if lines[-1] == "":
         lines.pop()
     return [x.removesuffix("\r") for x in lines]
