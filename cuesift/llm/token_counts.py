@@ -1,15 +1,19 @@
 """Token counts by source, language and tokenizer version, kept up to date by deltas.
 
 A batch of changes (inserts, deletes, revisions) becomes signed rows, is tokenised once and summed to
-one small table of deltas, which is committed under the batch's id by a single rename. A batch
-that is already committed isn't counted again, so a retried or replayed batch changes nothing. The
+one small table of deltas, which is committed by a marker of the batch's id that only one writer can
+create. A batch that is already committed isn't counted again, so a retried or replayed batch changes nothing. The
 totals are the sums of all committed deltas; ``compact`` folds them into a snapshot that remembers
 which batches it holds.
 """
 
 from __future__ import annotations
 
+import json
+import os
+
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -56,9 +60,11 @@ def inserts(df: DataFrame, source: str = "source", lang: str = "lang", text: str
 class TokenLedger:
     """The committed deltas below one folder of a shared file system.
 
-    Null sources and languages are groups of their own; a null text is a document of no tokens and
-    bytes. Groups whose documents were all taken out stay with zeros until ``totals`` leaves them
-    out. Repeated rows in a batch count as often as they occur; an empty batch commits no rows.
+    Null sources and languages are groups of their own; a null or empty text is a document of no tokens and
+    bytes; a very long text is tokenised whole. Groups whose documents were all taken out stay with zeros until ``totals`` leaves them
+    out. Repeated rows in a batch count as often as they occur; an empty batch commits no rows. Columns of a
+    batch beyond CHANGES are left out, also where their names differ from those only by case. Batches may be committed by several
+    writers at once; ``compact`` is for one at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, tokenizer_path: str, version: str):
@@ -78,35 +84,77 @@ class TokenLedger:
         sums = [F.sum("sign").cast("long"), F.sum(F.col("sign") * F.col("tokens")), F.sum(F.col("sign") * F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))]
         return rows.groupBy("source", "lang").agg(*[s.alias(m) for s, m in zip(sums, MEASURES)]).select("source", "lang", F.lit(self.version).alias("tokenizer"), *MEASURES)
 
+    def _marked(self) -> dict[str, str]:
+        """Each committed batch that no snapshot has taken up yet, and the folder of its deltas."""
+        if not self._list("batches"):
+            return {}
+        rows = self.spark.read.schema("batch string, folder string").json(f"{self.path}/batches").collect()  # one row a batch since the last snapshot
+        return {r["batch"]: r["folder"] for r in rows}
+
+    def _merged(self, snapshot: str | None) -> set[str]:
+        return {r["batch"] for r in self.spark.read.schema("batch string").json(f"{self.path}/snapshots/{snapshot}/batches").collect()} if snapshot else set()
+
     def committed(self) -> set[str]:
-        snapshot = self._snapshot()
-        merged = {r["batch"] for r in self.spark.read.schema("batch string").json(f"{self.path}/snapshots/{snapshot}/batches").collect()} if snapshot else set()
-        return merged | {x.removeprefix("batch-") for x in self._list("batches")}
+        return self._merged(self._snapshot()) | set(self._marked())
 
     def _snapshot(self) -> str | None:
         return next(iter(reversed(self._list("snapshots"))), None)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Counts the batch unless its id is committed already; whether it was counted now."""
+        """Counts the batch unless its id is committed already; whether it was counted now.
+
+        The deltas are written first; the marker is a file that comes to be whole or not at all, and not over another. So of
+        several writers of one batch one counts, and a writer that dies before its marker leaves nothing that counts.
+        """
         if not batch or set(batch) & set("/\\:"):
             raise ValueError(f"not a batch id: {batch!r}")
         if batch in self.committed():
             return False
-        staged = f"{self.path}/staging/{scratch(self.spark, batch).rsplit('/', 1)[1]}"
-        self.deltas(changes).coalesce(1).write.parquet(staged)
-        fs, to = self._fs(f"{self.path}/batches/batch-{batch}")
-        fs.mkdirs(to.getParent())
-        _, source = self._fs(staged)
-        if fs.exists(to) or not fs.rename(source, to):  # another writer was first
-            fs.delete(source, True)
-            return False
-        return True
+        folder = scratch(self.spark, batch).rsplit("/", 1)[1]
+        self.deltas(changes).write.parquet(f"{self.path}/deltas/{folder}")
+        if self._mark(batch, json.dumps({"batch": batch, "folder": folder})):
+            return True
+        fs, gone = self._fs(f"{self.path}/deltas/{folder}")
+        fs.delete(gone, True)
+        return False
+
+    def _mark(self, batch: str, text: str) -> bool:
+        fs, target = self._fs(f"{self.path}/batches/batch-{batch}.json")
+        fs.mkdirs(target.getParent())
+        _, staged = self._fs(f"{self.path}/staging/{scratch(self.spark, batch).rsplit('/', 1)[1]}")
+        out = fs.create(staged, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if fs.getUri().getScheme() == "file":  # a second link to the whole file; fails if the name is taken
+                try:
+                    os.link(staged.toUri().getPath(), target.toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            jvm = self.spark._jvm
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+            never_over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            never_over[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            try:
+                context.rename(staged, target, never_over)
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                    raise
+                return False
+            return True
+        finally:
+            fs.delete(staged, False)
 
     def totals(self) -> DataFrame:
         """The sums by source, lang and tokenizer, without groups that are empty again."""
+        return self._sums(self._marked())
+
+    def _sums(self, marked: dict[str, str]) -> DataFrame:
+        """The sums of the last snapshot and of these batches; their rows are combined before they are shuffled."""
         snapshot = self._snapshot()
-        merged = {r["batch"] for r in self.spark.read.schema("batch string").json(f"{self.path}/snapshots/{snapshot}/batches").collect()} if snapshot else set()
-        paths = [f"{self.path}/batches/{x}" for x in self._list("batches") if x.removeprefix("batch-") not in merged]
+        merged = self._merged(snapshot)
+        paths = [f"{self.path}/deltas/{folder}" for batch, folder in marked.items() if batch not in merged]
         if snapshot:
             paths.append(f"{self.path}/snapshots/{snapshot}/totals")
         if not paths:
@@ -115,20 +163,21 @@ class TokenLedger:
         return sums.filter(" or ".join(f"{m} <> 0" for m in MEASURES))
 
     def compact(self) -> None:
-        """Folds all batches into a new snapshot, committed by a rename, then drops what it holds."""
-        ids = self.committed()
+        """Folds the batches committed so far into a new snapshot, committed by a rename, then drops what it holds."""
+        marked = self._marked()
+        ids = self._merged(self._snapshot()) | set(marked)
         number = int(self._snapshot() or 0) + 1
         staged = f"{self.path}/staging/{scratch(self.spark, 'snapshot').rsplit('/', 1)[1]}"
-        self.totals().coalesce(1).write.parquet(f"{staged}/totals")
-        self.spark.createDataFrame([(i,) for i in sorted(ids)], "batch string").coalesce(1).write.json(f"{staged}/batches")
+        self._sums(marked).write.parquet(f"{staged}/totals")
+        self.spark.createDataFrame([(i,) for i in sorted(ids)], "batch string").write.json(f"{staged}/batches")
         fs, to = self._fs(f"{self.path}/snapshots/{number:012d}")
         fs.mkdirs(to.getParent())
         _, source = self._fs(staged)
         if not fs.rename(source, to):
             raise RuntimeError(f"snapshot {number} couldn't be committed")
-        for x in self._list("batches"):
-            if x.removeprefix("batch-") in ids:
-                fs.delete(self._fs(f"{self.path}/batches/{x}")[1], True)
+        for batch, folder in marked.items():
+            fs.delete(self._fs(f"{self.path}/batches/batch-{batch}.json")[1], False)
+            fs.delete(self._fs(f"{self.path}/deltas/{folder}")[1], True)
         for x in self._list("snapshots"):
             if int(x) < number:
                 fs.delete(self._fs(f"{self.path}/snapshots/{x}")[1], True)

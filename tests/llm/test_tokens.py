@@ -122,12 +122,35 @@ def test_ledger(spark, tmp_path, plain):
     assert totals(ledger) == totals(newer)
 
 
+def test_two_writers_of_one_batch(spark, tmp_path, plain):
+    """Both get past the look at what is committed, and write their deltas; one of them counts."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    docs = awkward_docs(spark).limit(6)
+    alone = token_counts.TokenLedger(spark, str(tmp_path / "alone"), PATH, "v1")
+    alone.commit("load", token_counts.inserts(docs))
+    barrier = Barrier(3)
+
+    class Slow(token_counts.TokenLedger):
+        def committed(self):
+            found = super().committed()
+            barrier.wait(60)
+            return found
+
+    ledgers = [Slow(spark, str(tmp_path / "both"), PATH, "v1") for _ in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        won = list(pool.map(lambda x: x.commit("load", token_counts.inserts(docs)), ledgers))
+    assert sorted(won) == [False, False, True] and totals(ledgers[0]) == totals(alone)
+
+
 def test_counts_query(spark, tmp_path, plain):
     docs = awkward_docs(spark)
+    labels = spark.createDataFrame([(5, 0, 0), (8, 0, None), (9, 1, 1), (9, 0, 0), (12, None, 1), (99, 0, 1), (None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int")
     want = {}
     for r in docs.collect():
         k = (r["source"], r["lang"])
         d, t, b = want.get(k, (0, 0, 0))
         want[k] = (d + 1, t + len(plain.encode(r[1] or "", add_special_tokens=False).ids), b + len((r[1] or "").encode()))
-    rows = queries.op3_token_counts(spark, tables(spark, tmp_path, docs)).collect()
+    rows = queries.op3_token_counts(spark, tables(spark, tmp_path, docs, labels=labels)).collect()
     assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"], r["n_bytes"]) for r in rows} == want
