@@ -59,6 +59,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
     side = F.broadcast(gone) if texts <= BROADCAST_TEXTS and places <= BROADCAST_PLACES else gone
     met = rows.withColumn("name", name).join(side.toDF("gone_id", "gone_name", "places"), (F.col("name") == F.col("gone_name")) & id_.eqNullSafe(F.col("gone_id")), "left")
     kept = F.when(F.col("places").isNull(), whole).otherwise(bound(lines, lambda every: F.array_join(without(every, F.col("places")), "\n")))
+    # An id, not known before it runs, keeps the text from being worked out again by a filter on it, or within a Python function.
+    kept = F.coalesce(F.when(F.monotonically_increasing_id() >= 0, kept), F.lit(""))
     out = [kept.alias(c) if c == body else F.col(c) for c in rows.columns]
     dropped = F.when(F.col("places").isNull(), F.lit(0)).otherwise(F.size("places")).cast("long")
     added = ["n_lines", "n_dropped"]
