@@ -1,42 +1,53 @@
 """Exact top-k by inner product with vector-approximation files.
 
-The index keeps each vector's components in cells of equal width (one byte each; the width is a
-power of two per batch of rows and stored with them) beside the exact vector. A search scans the
-cells for bounds of every score, then reads exact vectors in the order of their best possible
-score until no unread vector can enter the k best. Each task keeps its own k best for a block of
-queries, and the few rows of all tasks are ranked at the end.
+The index is two files: a table of cells (one byte a component; the cells' width is a power of two for
+each vector and stored with it), and the exact vectors, packed one after the other, which are read one by one
+where the cells ask for it. A search has three steps:
+
+1. All cells are scanned once; each task takes the blocks of queries from the shared folder, one after the other. The cells
+   bound every score from below and above; a row stays a candidate of a query while its upper bound reaches the k-th best
+   lower bound that the task has seen.
+2. The k-th best lower bound of all tasks turns away most of these.
+3. Each query's candidates are read in the order of their upper bounds until no unread vector can enter the k best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick, written
+from ..files import located, open_output, read_bytes, write_bytes
+from .common import pick, scratch, written
 
 SCALE = 1024
-#: So many queries go to the workers at once; with more, the blocks pass one after the other.
-QUERY_BLOCK = 1024
-CHUNK = 64
+#: So many queries are held by a task at once; so many rows' cells are bounded at a time.
+QUERY_BLOCK, ROW_BLOCK = 1024, 2048
+#: Lower bounds that a task remembers from batch to batch, and files that it keeps open.
+REMEMBERED, OPEN_FILES = 1 << 22, 64
 _SAFE = 1 << 53
 
 
 def integer_vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which rows take part (no nulls, all components finite), and floor(1024 * x) of each of these."""
+    """Which rows take part (no nulls, all components finite, also 1024-fold), and floor(1024 * x) of each of these."""
     ok = np.zeros(len(column), bool)
     out = []
     for i, v in enumerate(column):
         if not v.is_valid or v.values.null_count:
             continue
         x = np.asarray(v.values).astype(np.float64)
+        with np.errstate(over="ignore"):
+            x = np.floor(SCALE * x)
         if np.isfinite(x).all():
             ok[i] = True
-            out.append(np.floor(SCALE * x))
+            out.append(x)
     return ok, out
 
 
@@ -66,121 +77,196 @@ def unpacked(rows: list[bytes]) -> np.ndarray:
 
 
 def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The file of cells and exact vectors, written to the shared folder: vec_id, dims, width, cells, exact.
+    """The table of cells, written to the shared folder: vec_id, dims, width, cells, and where the exact vector lies (file, at, size).
 
     Every row is indexed but those whose vector is null or holds a null or non-finite component. Rows
-    with a null id are left out. An empty table gives an empty index.
+    with a null id are left out. Other columns are too, also where their names differ only by case. An empty table gives an
+    empty index. Each task writes one file of exact vectors; what a lost task has written is in no row.
     """
     two = pick(df, [key, vector]).toDF("vec_id", "v").filter("vec_id is not null")
+    folder = scratch(df.sparkSession, "exact")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, out, end = f"{folder}/{uuid.uuid4().hex}.bin", None, 0
         for batch in batches:
             ok, vectors = integer_vectors(batch.column("v"))
             if not vectors:
                 continue
-            top = max((float(np.abs(v).max(initial=0)) for v in vectors))
-            width = 2.0 ** max(0, int(np.ceil(np.log2(max(top, 1) / 127))))
+            out = out or open_output(file)
+            tops = np.maximum([float(np.abs(v).max(initial=0)) for v in vectors], 127)
+            widths = np.exp2(np.ceil(np.log2(tops / 127)))
+            raw = [packed(v) for v in vectors]
+            sizes = np.array([len(r) for r in raw])
+            out.write(b"".join(raw))
             columns = [
                 batch.column("vec_id").filter(pa.array(ok)),
                 pa.array([len(v) for v in vectors], pa.int32()),
-                pa.array([width] * len(vectors), pa.float64()),
-                pa.array([np.floor(v / width).astype(np.int8).tobytes() for v in vectors], pa.binary()),
-                pa.array([packed(v) for v in vectors], pa.binary()),
+                pa.array(widths, pa.float64()),
+                pa.array([np.floor(v / w).astype(np.int8).tobytes() for v, w in zip(vectors, widths)], pa.binary()),
+                pa.array([file] * len(vectors)),
+                pa.array(end + np.cumsum(sizes) - sizes, pa.int64()),
+                pa.array(sizes, pa.int32()),
             ]
-            yield pa.record_batch(columns, names=["vec_id", "dims", "width", "cells", "exact"])
+            end += int(sizes.sum())
+            yield pa.record_batch(columns, names=["vec_id", "dims", "width", "cells", "file", "at", "size"])
+        if out:
+            out.close()
 
     kind = two.schema["vec_id"].dataType.simpleString()
-    return written(two.mapInArrow(cells, f"vec_id {kind}, dims int, width double, cells binary, exact binary"), "cells")
-
-
-class Best:
-    """The k best rows seen so far of each query: score from high to low, then smaller id."""
-
-    def __init__(self, ids: list, vectors: list[np.ndarray], k: int):
-        self.k, self.ids = k, np.array(ids)
-        self.queries = vectors
-        self.score = [np.zeros(0, np.int64) for _ in ids]
-        self.row = [np.zeros(0, self.ids.dtype) for _ in ids]
-        self.read = 0
-
-    def add(self, q: int, rows: np.ndarray, scores: np.ndarray) -> None:
-        rows, scores = np.concatenate([self.row[q], rows]), np.concatenate([self.score[q], scores])
-        order = np.lexsort((rows, ~scores))[: self.k]  # ~x falls as x rises, without overflow
-        self.row[q], self.score[q] = rows[order], scores[order]
-
-    def scan(self, which: list[int], ids: np.ndarray, cells: np.ndarray, exact: Callable[[np.ndarray], np.ndarray], width: float) -> None:
-        """One batch of rows of the queries' own dimension. exact reads the vectors at some places of the batch."""
-        stack = np.stack([self.queries[q] for q in which])
-        cell_scores = (cells.astype(np.float64) @ stack.T) * width
-        high = np.maximum(stack, 0).sum(1) * (width - 1)
-        for n, q in enumerate(which):
-            bound = cell_scores[:, n] + high[n]
-            bound += np.abs(bound) * 1e-9 + 1  # rounding can't hide a row
-            bound[ids == self.ids[q]] = -np.inf
-            if len(self.score[q]) == self.k:
-                likely = np.flatnonzero(bound >= self.score[q][-1])
-                likely = likely[np.argsort(-bound[likely], kind="stable")]
-            else:
-                likely = np.argsort(-bound, kind="stable")
-            for i in range(0, len(likely), CHUNK):
-                some = likely[i : i + CHUNK]
-                if bound[some[0]] == -np.inf or len(self.score[q]) == self.k and bound[some[0]] < self.score[q][-1]:
-                    break
-                some = some[bound[some] > -np.inf]
-                self.read += len(some)
-                self.add(q, ids[some], product(exact(some), stack[n]))
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    return written(two.mapInArrow(cells, f"vec_id {kind}, dims int, width double, cells binary, file string, at long, size int"), "cells")
+
+
+def query_blocks(queries: DataFrame, key: str, vector: str, block: int) -> list[str]:
+    """The queries in files of the shared folder, at most ``block`` in each; their names. Queries without a proper vector are in none."""
+    asked = pick(queries, [key, vector]).toDF("id", "v").filter("id is not null").groupBy("id").agg(F.min("v").alias("v"))
+    folder = scratch(queries.sparkSession, "queries")
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok, vectors = integer_vectors(batch.column("v"))
+            ids = batch.column("id").filter(pa.array(ok))
+            for a in range(0, len(vectors), block):
+                part = pa.record_batch([ids.slice(a, block), pa.array([v for v in vectors[a : a + block]], pa.list_(pa.float64()))], names=["id", "v"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as stream:
+                    stream.write_batch(part)
+                name = f"{folder}/{uuid.uuid4().hex}"
+                write_bytes(name, sink.getvalue().to_pybytes())
+                yield pa.record_batch([pa.array([name])], names=["name"])
+
+    return sorted(r["name"] for r in asked.mapInArrow(save, "name string").collect())  # a name for so many queries
+
+
+def read_block(name: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A block's ids and vectors."""
+    with pa.ipc.open_stream(read_bytes(name)) as stream:
+        part = stream.read_all().combine_chunks()
+    return np.array(part.column("id").to_pylist()), [np.asarray(v.values) for v in part.column("v").combine_chunks()]
+
+
+class Bounds:
+    """One block of queries against rows of cells, with the k best lower bounds so far of each query."""
+
+    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray], k: int, low: np.ndarray | None = None):
+        self.k, self.ids, self.dims = k, ids, np.array([len(v) for v in vectors])
+        self.by_dims = {d: (np.flatnonzero(self.dims == d), np.stack([v for v in vectors if len(v) == d])) for d in set(self.dims.tolist())}
+        self.low = np.full((len(ids), k), -np.inf) if low is None else low
+
+    def candidates(self, ids: np.ndarray, cells: np.ndarray, width: float) -> tuple[np.ndarray, ...]:
+        """Query numbers, row numbers, lower and upper bounds of what may be among the k best."""
+        out = []
+        which, stack = self.by_dims.get(cells.shape[1], (np.zeros(0, np.int64), None))
+        if not len(which):
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.float64))
+        spare = (width - 1) * np.minimum(stack, 0).sum(1), (width - 1) * np.maximum(stack, 0).sum(1)
+        for a in range(0, len(ids), ROW_BLOCK):
+            middle = (cells[a : a + ROW_BLOCK].astype(np.float64) @ stack.T) * width
+            lower, upper = middle + spare[0], middle + spare[1]
+            lower -= np.abs(lower) * 1e-9 + 1  # rounding can't hide a row
+            upper += np.abs(upper) * 1e-9 + 1
+            own = ids[a : a + ROW_BLOCK, None] == self.ids[which][None, :]
+            lower[own] = upper[own] = -np.inf
+            best = np.concatenate([self.low[which].T, lower])
+            best = np.partition(best, len(best) - self.k, axis=0)[len(best) - self.k :]
+            self.low[which] = best.T
+            row, query = np.nonzero((upper >= best.min(0)) & (upper > -np.inf))
+            out.append((which[query], row + a, lower[row, query], upper[row, query]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+class Exact:
+    """Exact vectors by file and place; a few files stay open."""
+
+    def __init__(self) -> None:
+        self.open: OrderedDict = OrderedDict()
+
+    def read(self, file: str, at: int, size: int) -> np.ndarray:
+        if file not in self.open:
+            files, path = located(file)
+            self.open[file] = files.open_input_file(path)
+            if len(self.open) > OPEN_FILES:
+                self.open.popitem(last=False)[1].close()
+        self.open.move_to_end(file)
+        return unpacked([self.open[file].read_at(size, at)])
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK, reads: Accumulator | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows of the index, all if there are fewer.
 
     A query's own row (the same id) is no candidate; ties go to the smaller id. Queries without a
     proper vector, and rows of another dimension than a query, take no part. Repeated queries are one
     (the least vector, should they differ); repeated index rows are ranked each on its own. No queries
-    or no rows give no result. Queries are fetched and sent out in blocks, so neither the driver nor
-    a worker holds more than a block of them at a time.
+    or no rows give no result. Neither the driver nor a task holds more than a block of queries at a time,
+    beside REMEMBERED bounds. ``reads`` counts the exact vectors read.
     """
     spark = index.sparkSession
     kind = index.schema["vec_id"].dataType.simpleString()
-    asked = pick(queries, [key, vector]).toDF("id", "v").filter("id is not null").groupBy("id").agg(F.min("v").alias("v"))
-    parts, ids, vectors = [], [], []
-
-    def one_block() -> None:
-        held = spark.sparkContext.broadcast((list(ids), list(vectors)))
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(*held.value, k)
-            for batch in batches:
-                rows, dims, widths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "dims", "width"))
-                cells, exact = batch.column("cells"), batch.column("exact")
-                for d, w in {*zip(dims.tolist(), widths.tolist())}:
-                    which = [q for q, v in enumerate(best.queries) if len(v) == d]
-                    at = np.flatnonzero((dims == d) & (widths == w))
-                    if which and len(at):
-                        c = np.frombuffer(b"".join(cells[int(i)].as_py() for i in at), np.int8).reshape(len(at), d)
-                        best.scan(which, rows[at], c, lambda some, at=at: unpacked([exact[int(i)].as_py() for i in at[some]]), w)
-            found = [q for q in range(len(best.queries)) if len(best.row[q])]
-            if found:
-                sizes = [len(best.row[q]) for q in found]
-                yield pa.record_batch([pa.array(np.repeat(best.ids[found], sizes)), pa.array(np.concatenate([best.row[q] for q in found])), pa.array(np.concatenate([best.score[q] for q in found]))], names=["query_id", "vec_id", "score"])
-
-        parts.append(index.mapInArrow(work, f"query_id {kind}, vec_id {kind}, score long"))
-        ids.clear()
-        vectors.clear()
-
-    for r in asked.orderBy("id").toLocalIterator():
-        ok, found = integer_vectors(pa.array([r["v"]], pa.list_(pa.float64())))
-        if ok[0]:
-            ids.append(r["id"])
-            vectors.append(found[0])
-        if len(ids) == block:
-            one_block()
-    if ids:
-        one_block()
-    if not parts:
+    blocks = query_blocks(queries, key, vector, block)
+    if not blocks:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: dict[str, np.ndarray] = {}
+        for batch in batches:
+            ids, dims, widths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "dims", "width"))
+            groups = []
+            for d, w in sorted({*zip(dims.tolist(), widths.tolist())}):
+                at = np.flatnonzero((dims == d) & (widths == w))
+                raw = b"".join(batch.column("cells").take(pa.array(at)).to_pylist())
+                groups.append((at, np.frombuffer(raw, np.int8).reshape(len(at), d), w))
+            for name in blocks:
+                asked, vectors = read_block(name)
+                bounds = Bounds(asked, vectors, k, low.get(name))
+                for at, cells, w in groups:
+                    query, row, lower, upper = bounds.candidates(ids[at], cells, w)
+                    if len(query):
+                        rows = pa.array(at[row])
+                        there = [batch.column(c).take(rows) for c in ("vec_id", "file", "at", "size")]
+                        numbers = [pa.array(query, pa.int32()), pa.array(lower), pa.array(upper)]
+                        yield pa.record_batch([pa.array(asked[query]), pa.array([name] * len(query)), *numbers, *there], names=["query_id", "block", "query", "lower", "upper", "vec_id", "file", "at", "size"])
+                if name in low or sum(x.size for x in low.values()) + bounds.low.size <= REMEMBERED:
+                    low[name] = bounds.low
+
+    columns = f"query_id {kind}, block string, query int, lower double, upper double, vec_id {kind}, file string, at long, size int"
+    near = written(index.mapInArrow(scan, columns), "candidates")
+    order = Window.partitionBy("query_id").orderBy(F.desc("lower"))
+    least = near.select("query_id", "lower").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).alias("least"))
+    likely = near.join(least, "query_id").filter("least is null or upper >= least").drop("lower", "least")
+    likely = likely.repartition("query_id").sortWithinPartitions("query_id", F.desc("upper"), "vec_id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact, held, now, best, over = Exact(), ("", []), None, [], False
+        id_type, out = None, []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out))
+            out.clear()
+            return pa.record_batch([pa.array(columns[0], id_type), pa.array(columns[1], pa.int32()), pa.array(columns[2], id_type), pa.array(columns[3], pa.int64())], names=["query_id", "rank", "vec_id", "score"])
+
+        def close() -> None:
+            out.extend((now, n + 1, vec, -score) for n, (score, vec) in enumerate(best))
+
+        for batch in batches:
+            id_type = batch.schema.field("query_id").type
+            for query_id, name, query, upper, vec, file, at, size in zip(*[batch.column(c).to_pylist() for c in ("query_id", "block", "query", "upper", "vec_id", "file", "at", "size")]):
+                if query_id != now:
+                    if now is not None:
+                        close()
+                    now, best, over = query_id, [], False
+                if over or len(best) == k and upper < -best[-1][0]:
+                    over = True  # all further ones of this query lie lower
+                    continue
+                if held[0] != name:
+                    held = (name, read_block(name)[1])
+                score = int(product(exact.read(file, at, size), held[1][query])[0])
+                if reads is not None:
+                    reads.add(1)
+                best = sorted([*best, (-score, vec)])[:k]
+            if len(out) >= 4096:
+                yield flush()
+        if now is not None:
+            close()
+        if out:
+            yield flush()
+
+    return likely.select("query_id", "block", "query", "upper", "vec_id", "file", "at", "size").mapInArrow(read, f"query_id {kind}, rank int, vec_id {kind}, score long")
