@@ -4,17 +4,19 @@ A document's ids are hashed into a vector, its direction is projected to a few d
 cell there gives a Hilbert key. Documents are range-sorted by (key, id), and each range is cut into
 sequences of 1024 along the curve, so a sequence holds neighbouring documents. What is left at a
 range's end is cut at powers of two, which need no padding; nothing depends on a global running
-sum, and copies of one text, which share a key, are spread over ranges by their ids.
+sum, and copies of one text, which share a key, are spread over ranges by their ids. The ranges' number and bounds follow
+from the documents alone (their bytes, and a sample drawn by hashes of their keys), so the same documents give the same
+pieces in every run, whatever parts they come in.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -25,6 +27,8 @@ from .words import release
 
 LENGTH, EOD = 1024, 0
 DIMS, BITS, BUCKETS = 4, 10, 4096
+#: Bytes of packed ids a range, ranges that a small input gets if each has SMALL bytes, most ranges, and sampled keys for each.
+RANGE_BYTES, LEAST_RANGES, SMALL, MOST_RANGES, KEYS = 64 << 20, 32, 1 << 20, 50_000, 20
 ENCODED = "struct<curve: long, ids: binary>"
 PIECES = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -131,24 +135,54 @@ class Packer:
         self.fill = 0
 
 
+def range_bounds(encoded: DataFrame) -> list[tuple]:
+    """Where the ranges part: keys (curve, doc_id) that cut the documents' bytes in about equal ranges.
+
+    The keys come from a sample by hash, at most about KEYS a range, each with the weight of its bytes.
+    """
+    size = F.octet_length("ids")
+    total, count = encoded.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    ranges = min(MOST_RANGES, max(-(-total // RANGE_BYTES), min(LEAST_RANGES, total // SMALL)))
+    if ranges < 2:
+        return []
+    share = KEYS * ranges / count
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(11), "curve", "doc_id"), 11) / float(1 << 53) < share
+    keys = sorted(((r["curve"], (r["doc_id"] is not None, 0 if r["doc_id"] is None else r["doc_id"])), r["size"]) for r in encoded.filter(drawn).select("curve", "doc_id", size.alias("size")).collect())
+    if not keys:
+        return []
+    sums = np.cumsum([s for _, s in keys])
+    at = np.searchsorted(sums, sums[-1] * np.arange(1, ranges) / ranges)
+    return sorted({keys[i][0] for i in at.tolist()})
+
+
 def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, eod: int = EOD) -> DataFrame:
     """One row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Each document is its ids and the end mark; each id lies in exactly one piece, and no sequence
     needs padding if length is a power of two (else a range's last ones may). A null or empty
-    text is the end mark alone; null ids sort first; repeated rows are packed each on its own; an empty
-    table gives no pieces. Other columns are left out. The ids are written once to the shared
-    folder, so sampling for the ranges doesn't tokenise again, and a lost executor costs only what it
+    text is the end mark alone; a very long one is tokenised whole by one task and cut into many pieces; null ids sort first;
+    repeated rows are packed each on its own; an empty table gives no pieces. Other columns are left out, also where
+    their names differ only by case. The ids are written once to the shared
+    folder, so finding the ranges doesn't tokenise again, and a lost executor costs only what it
     was cutting. sequence_id is the range's number times 2^32 plus the place in it.
     """
     two = pick(df, [key, text]).toDF("doc_id", "text")
     kind = two.schema["doc_id"].dataType
     encoded = two.select("doc_id", encoder(tokenizer_path, eod)(F.coalesce("text", F.lit(""))).alias("e")).select("doc_id", "e.curve", "e.ids")
-    ranged = written(encoded, "ids").repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
+    encoded = written(encoded, "ids")
+    bounds = df.sparkSession.sparkContext.broadcast(range_bounds(encoded))
+
+    @arrow_udf("int")
+    def range_of(curves: pa.Array, docs: pa.Array) -> pa.Array:
+        keys = zip(curves.to_pylist(), docs.to_pylist())
+        return pa.array([bisect_right(bounds.value, (c, (d is not None, 0 if d is None else d))) for c, d in keys], pa.int32())
+
+    ranged = encoded.withColumn("range", range_of("curve", "doc_id")) if bounds.value else encoded.withColumn("range", F.lit(0))
+    ranged = ranged.repartitionById(len(bounds.value) + 1, F.col("range")).sortWithinPartitions("range", "curve", "doc_id", "ids")
     fields = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, doc_type = Packer(length, TaskContext.get().partitionId() << 32), None
+        packer, now, doc_type = None, None, None
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*packer.out))
@@ -157,15 +191,22 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
 
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for at, doc, ids in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
+                if at != now:
+                    if packer is not None:
+                        packer.end()
+                        if packer.out:
+                            yield flush()
+                    packer, now = Packer(length, at << 32), at
                 raw = ids.as_buffer()
                 wide = raw[0] == 4
                 packer.add(doc, np.frombuffer(raw, "<u4" if wide else "<u2", offset=1))
                 if len(packer.out) >= 4096:
                     yield flush()
-        packer.end()
-        if packer.out:
-            yield flush()
+        if packer is not None:
+            packer.end()
+            if packer.out:
+                yield flush()
         release()
 
-    return ranged.select("doc_id", "ids").mapInArrow(cut, PIECES.format(kind.simpleString()))
+    return ranged.select("range", "doc_id", "ids").mapInArrow(cut, PIECES.format(kind.simpleString()))

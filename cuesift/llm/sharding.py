@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from .common import numbered, unclashed
 
 BUCKET_BYTES = 4 << 20
+#: Bytes that a task shuffles, bucket after bucket, at most; small inputs are spread over up to so many tasks.
+TASK_BYTES, LEAST_TASKS = 128 << 20, 32
 
 
 def shard_of(key: Column, shards: int, seed: int = 0) -> Column:
@@ -31,12 +33,13 @@ def shard_records(df: DataFrame, shards: int = 16, key: str = "doc_id", text: st
 
     The law is ``key``: the key and the number of shards decide the shard; grown_shard is that with
     one more shard. Buckets are drawn from key and text, so one hot key doesn't make a hot bucket
-    unless its records are equal byte by byte. The bucket counts follow from each shard's bytes, so a
+    unless its records are equal byte by byte; such copies are told apart by all other columns that can be hashed. The bucket counts follow from each shard's bytes, so a
     bucket is about bucket_bytes whatever the input's size (plus its longest record).
 
     Null keys form one key, null texts count as empty, repeated rows each get a slot, an empty
     table gives an empty one. Input columns named shard, slot or grown_shard come out as <name>_in.
-    Map columns pass through.
+    Map columns pass through. A very long text is one
+    record, and a bucket is longer by it.
     """
     rows, own = numbered(df)
     kinds = [f.dataType for f in df.schema.fields]
@@ -45,12 +48,15 @@ def shard_records(df: DataFrame, shards: int = 16, key: str = "doc_id", text: st
     placed = rows.withColumn("shard", shard_of(k, shards, seed))
     weight = {r["shard"]: r["bytes"] for r in placed.groupBy("shard").agg(F.sum(F.octet_length(body) + 1).alias("bytes")).collect()}  # one row a shard
     many = F.array(*[F.lit(max(1, -(-weight.get(s, 0) // bucket_bytes))).cast("long") for s in range(shards)])
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), k, body), F.element_at(many, F.col("shard") + 1)))
+    others = [F.col(c) for c, t in zip(rows.columns, kinds) if not isinstance(t, T.VariantType)]
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), k, body, *others), F.element_at(many, F.col("shard") + 1)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # A number of tasks that follows from the data, sorted buckets in each and sorted records in these give every
     # bucket the same part of its task's random stream, in a repeated task as in another run.
-    tasks = max(1, -(-sum(weight.values()) // (2 * bucket_bytes)))
+    # As many tasks as have TASK_BYTES each; what is less than LEAST_TASKS of these is spread wider.
+    total = sum(weight.values())
+    tasks = max(1, -(-total // TASK_BYTES), min(LEAST_TASKS, -(-total // (2 * bucket_bytes))))
     buckets = placed.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("records"))
     shuffled = buckets.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("records", F.lit(seed)).alias("records"))
     out = shuffled.join(offsets, ["shard", "bucket"]).select("shard", "base", F.posexplode("records").alias("at", "record"))

@@ -65,6 +65,17 @@ def test_packing(spark, tmp_path, plain):
     assert packing.pack(no_docs(spark), PATH).count() == 0
 
 
+def test_packing_is_the_same_in_every_run(spark, monkeypatch):
+    """Many ranges, other parts of the input: the same pieces; a copied text lies in several ranges."""
+    monkeypatch.setattr(packing, "SMALL", 2000)
+    texts = [f"text number {i % 50} of some words, {'and more of them, ' * (i % 7)}" for i in range(400)] + ["a copy of it all " * 20] * 200
+    docs = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    runs = [sorted((r["doc_id"] is not None, *[x for x in r if x is not None]) for r in packing.pack(docs.repartition(n), PATH).collect()) for n in (1, 3, 8)]
+    assert runs[0] == runs[1] == runs[2]
+    used = {r["sequence_id"] >> 32 for r in packing.pack(docs, PATH).collect()}
+    assert len(used) > 5 and len({r["sequence_id"] >> 32 for r in packing.pack(docs, PATH).filter("doc_id >= 400").collect()}) > 1
+
+
 def test_neighbours_share_sequences():
     """Hilbert keys visit each cell once, one step at a time."""
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
