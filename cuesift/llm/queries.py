@@ -60,26 +60,25 @@ from dw left join marked using (doc_id) left join items using (doc_id)
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by way of inserts, revisions and deletes; every batch is sent twice and counted once.
 
-    Documents that ``labels`` flags first count under the source ``pending``. The low-quality ones
-    are then revised to their own source; the toxic ones are deleted, and inserted under their own source by a last
-    batch. So the totals are those of the whole table again.
+    Texts of fewer than 1,000 characters first count under the source ``pending``. Those of fewer than 500
+    are then revised to their own source; the others are deleted, and inserted under their own source by a last
+    batch. So the totals are those of the whole table again. Each batch is a filter of the table in place.
     """
     ledger = token_counts.TokenLedger(spark, scratch(spark, "ledger"), byte_bpe_path(), "byte_bpe_50k")
-    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "lang", "text"])
-    flags = table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"]).groupBy("doc_id").agg(F.coalesce(F.max("toxic") == 1, F.lit(False)).alias("toxic"), F.coalesce(F.min("quality") == 0, F.lit(False)).alias("low"))
-    docs = docs.join(flags, "doc_id", "left").withColumn("kind", F.when(F.col("toxic"), "toxic").when(F.col("low"), "low"))
+    docs = table(spark, sf_dir, "documents", ["source", "lang", "text"])
+    size = F.coalesce(F.length("text"), F.lit(0))
     pending, none = F.lit("pending"), F.lit(None).cast("string")
 
     def changes(op: str, rows: DataFrame, source: object, old: bool = False) -> DataFrame:
         before = [pending, F.col("lang"), F.col("text")] if old else [none] * 3
         return rows.select(F.lit(op).alias("op"), source.alias("source"), "lang", "text", *[c.alias(n) for c, n in zip(before, token_counts.CHANGES[4:])])
 
-    low, toxic = docs.filter("kind = 'low'"), docs.filter("kind = 'toxic'")
+    short, middling = docs.filter(size < 500), docs.filter((size >= 500) & (size < 1000))
     batches = {
-        "load": changes("insert", docs, F.when(F.col("kind").isNull(), F.col("source")).otherwise(pending)),
-        "review": changes("revise", low, F.col("source"), old=True),
-        "withdrawn": changes("delete", toxic, pending),
-        "restored": changes("insert", toxic, F.col("source")),
+        "load": changes("insert", docs, F.when(size < 1000, pending).otherwise(F.col("source"))),
+        "review": changes("revise", short, F.col("source"), old=True),
+        "withdrawn": changes("delete", middling, pending),
+        "restored": changes("insert", middling, F.col("source")),
     }
     for batch, rows in batches.items():
         ledger.commit(batch, rows)

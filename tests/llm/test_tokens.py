@@ -157,11 +157,13 @@ def test_two_writers_of_one_batch(spark, tmp_path, plain):
 
 def test_counts_query(spark, tmp_path, plain):
     docs = awkward_docs(spark)
-    labels = spark.createDataFrame([(5, 0, 0), (8, 0, None), (9, 1, 1), (9, 0, 0), (12, None, 1), (99, 0, 1), (None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    docs = docs.union(docs.filter("length(text) between 400 and 700").replace("s", "t", "source"))
+    sizes = [len(r[1] or "") for r in docs.collect()]
+    assert min(sizes) < 500 and any(500 <= n < 1000 for n in sizes) and max(sizes) >= 1000
     want = {}
     for r in docs.collect():
         k = (r["source"], r["lang"])
         d, t, b = want.get(k, (0, 0, 0))
         want[k] = (d + 1, t + len(plain.encode(r[1] or "", add_special_tokens=False).ids), b + len((r[1] or "").encode()))
-    rows = queries.op3_token_counts(spark, tables(spark, tmp_path, docs, labels=labels)).collect()
+    rows = queries.op3_token_counts(spark, tables(spark, tmp_path, docs)).collect()
     assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"], r["n_bytes"]) for r in rows} == want
