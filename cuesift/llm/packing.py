@@ -27,8 +27,8 @@ from .words import release
 
 LENGTH, EOD = 1024, 0
 DIMS, BITS, BUCKETS = 4, 10, 4096
-#: Bytes of packed ids a range, ranges that a small input gets if each has SMALL bytes, most ranges, and sampled keys for each.
-RANGE_BYTES, LEAST_RANGES, SMALL, MOST_RANGES, KEYS = 64 << 20, 32, 1 << 20, 50_000, 20
+#: Bytes of packed ids a range: SMALL up to MANY ranges, then more up to RANGE_BYTES; the most ranges, and sampled keys for each.
+SMALL, MANY, RANGE_BYTES, MOST_RANGES, KEYS = 4 << 20, 4096, 256 << 20, 50_000, 20
 ENCODED = "struct<curve: long, ids: binary>"
 PIECES = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -142,7 +142,7 @@ def range_bounds(encoded: DataFrame) -> list[tuple]:
     """
     size = F.octet_length("ids")
     total, count = encoded.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
-    ranges = min(MOST_RANGES, max(-(-total // RANGE_BYTES), min(LEAST_RANGES, total // SMALL)))
+    ranges = min(MOST_RANGES, -(-total // min(max(total // MANY, SMALL), RANGE_BYTES)))
     if ranges < 2:
         return []
     share = KEYS * ranges / count

@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from .common import numbered, unclashed
 
 BUCKET_BYTES = 4 << 20
-#: Bytes that a task shuffles, bucket after bucket, at most; small inputs are spread over up to so many tasks.
-TASK_BYTES, LEAST_TASKS = 128 << 20, 32
+#: Bytes that a task shuffles, bucket after bucket: two buckets up to so many tasks, then more, but not beyond a bound.
+MANY_TASKS, TASK_BYTES = 4096, 128 << 20
 
 
 def shard_of(key: Column, shards: int, seed: int = 0) -> Column:
@@ -54,9 +54,8 @@ def shard_records(df: DataFrame, shards: int = 16, key: str = "doc_id", text: st
     offsets = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # A number of tasks that follows from the data, sorted buckets in each and sorted records in these give every
     # bucket the same part of its task's random stream, in a repeated task as in another run.
-    # As many tasks as have TASK_BYTES each; what is less than LEAST_TASKS of these is spread wider.
     total = sum(weight.values())
-    tasks = max(1, -(-total // TASK_BYTES), min(LEAST_TASKS, -(-total // (2 * bucket_bytes))))
+    tasks = max(1, -(-total // min(max(total // MANY_TASKS, 2 * bucket_bytes), TASK_BYTES)))
     buckets = placed.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("records"))
     shuffled = buckets.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("records", F.lit(seed)).alias("records"))
     out = shuffled.join(offsets, ["shard", "bucket"]).select("shard", "base", F.posexplode("records").alias("at", "record"))
