@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cuesift.llm import packing, queries, token_counts, tokens
-from tests.llm.data import awkward_docs, awkward_texts, no_docs, tables
+from tests.llm.data import awkward_docs, awkward_texts, awkward_texts, no_docs, tables
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -156,8 +156,7 @@ def test_two_writers_of_one_batch(spark, tmp_path, plain):
 
 
 def test_counts_query(spark, tmp_path, plain):
-    docs = awkward_docs(spark)
-    docs = docs.union(docs.filter("length(text) between 400 and 700").replace("s", "t", "source"))
+    docs = awkward_docs(spark, awkward_texts() + ["a word " * 90, "two words " * 70])
     sizes = [len(r[1] or "") for r in docs.collect()]
     assert min(sizes) < 500 and any(500 <= n < 1000 for n in sizes) and max(sizes) >= 1000
     want = {}
