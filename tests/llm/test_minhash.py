@@ -107,22 +107,3 @@ def test_query(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op6_minhash(spark, SF).collect()}
     want = slow(docs, 85)
     assert {d: got[d] for d in want} == want
-
-
-def test_long_buckets_are_split_before_blocks_meet(spark):
-    """One band of 5,000 unlinked texts: 20 blocks, so 190 pairs of blocks; what shares no other band stays out."""
-    n, planted = 5000, [(10, 900), (11, 4000), (42, 43)]
-    block = lambda i: i % 20
-    bands = [(7, i) for i in range(n)] + [(1000 + i, i) for i in range(n)] + [(100_000 + k, x) for k, pair in enumerate(planted) for x in pair]
-    members = spark.createDataFrame(bands, "band long, rep long")
-    across = members.selectExpr("band", "rep", "rep % 20 as block", "rep as comp")
-    got = minhash.second_units(across, members).collect()
-    units = {}
-    for r in got:
-        units.setdefault(r["unit"], set()).add(r["id"])
-    assert len(units) == len(planted) and all(any(set(p) <= ids for ids in units.values()) for p in planted)
-    assert len(got) == 2 * len(planted)
-    every = minhash.second_units(across, members, long=20)
-    assert every.select("unit").distinct().count() == 190 and len({block(x) for x in range(n)}) == 20
-    linked = across.withColumn("comp", F.lit(0).cast("long"))
-    assert minhash.second_units(linked, members).count() == 0
