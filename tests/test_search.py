@@ -2,10 +2,11 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cuesift.operators.batching import length_batches
 from cuesift.operators.search import presented, search, video_link
-from cuesift.operators.windowing import sliding_chunks
+from cuesift.operators.windowing import sliding_chunks, walked
 from cuesift.functions.captions import Word, chunk_words
 
 INDEX = "chunk_idx long, vod_id string, text string, start double, embedding array<float>"
@@ -70,6 +71,32 @@ def test_windows(spark, seed, disorder):
     assert sorted((r["vod_id"], r["text"], r["start"], r["end"]) for r in got.collect()) == sorted(want)
 
 
+def test_windows_are_not_listed(spark):
+    """No table of all windows, which the driver would have to hold for a broadcast; a key of a million empty windows is no more work than another."""
+    words = [("a", 0, "x", 0.1), ("a", 1, "y", 3e5), (None, 0, "z", 1.0), ("b", 0, "z", 1.0), ("c", 0, "u", 1.0), ("c", 1, "v", float("nan"))]
+    got = sliding_chunks(spark.createDataFrame(words, "vod_id string, seq int, text string, t double"), 1.1, 0.3)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    want = [(v, c.text, c.start, c.end) for v in "abc" for c in chunk_words([Word(w[2], w[3]) for w in words if w[0] == v], v, 1.1, 0.3)]
+    assert sorted((r["vod_id"], r["text"], r["start"], r["end"]) for r in got.collect()) == sorted(want) and len(want) == 5
+    many = sliding_chunks(spark.createDataFrame(words[:1] + words[3:4], "vod_id string, seq int, text string, t double"), 30.0, 0.3)
+    assert many.count() == 2
+
+
+@pytest.mark.parametrize("stride", [0.3, 1.5, 10800.0, 1 / 3])
+def test_walked(spark, stride):
+    """Begins worked out by leaps are those of adding again and again, over ties, powers of two and zero."""
+    rng, rows = random.Random(1), []
+    for first in (0.0, -5000 * stride, 1.7e9, stride * 2.0**30, -stride * 2.0**40, 2.0**33 - 9 * stride, 2.0**52 + 1, 2.0**52 + 2, 2.0**53 - 2000):
+        k, at = rng.choice([0, 1, 7, 3000, 50000]), first
+        for _ in range(k):
+            at += stride
+        if at + stride != at:
+            rows.append((first, k, at))
+    df = spark.createDataFrame(rows, "first double, k long, at double")
+    by_count, by_time = walked(F.col("first"), stride, F.col("k"), F.lit(float("inf"))), walked(F.col("first"), stride, F.lit(1 << 62), F.col("at"))
+    assert all(tuple(r["x"]) == tuple(r["y"]) == (r["k"], r["at"]) for r in df.select("k", "at", by_count.alias("x"), by_time.alias("y")).collect())
+
+
 def test_length_batches(spark):
     rows = [(i, (i * 7) % 5) for i in range(23)]
     got = {r["i"]: r["batch"] for r in length_batches(spark.createDataFrame(rows, "i int, n int"), "n", "i", 4).collect()}
