@@ -26,7 +26,7 @@ def length_batches(df: DataFrame, length: str, idx: str, batch: int) -> DataFram
 _encoders: dict[tuple, Encoder] = {}
 
 
-def embed(chunks: DataFrame, vocab: WordPiece, weights_path: str, config: Config, batch: int = BATCH, floats: int = 1 << 22, tasks: int | None = None, keep: list[str] | None = None, double: bool = False, done: Accumulator | None = None) -> DataFrame:
+def embed(chunks: DataFrame, vocab: WordPiece, weights_path: str, config: Config, batch: int = BATCH, floats: int = 1 << 18, tasks: int | None = None, keep: list[str] | None = None, double: bool = False, done: Accumulator | None = None) -> DataFrame:
     """chunks (or their columns ``keep``) with ``embedding``. weights_path is a safetensors file that every worker can read.
 
     One pass through Python: each Arrow batch is encoded, taken in the order of token counts in

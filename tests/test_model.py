@@ -180,3 +180,23 @@ def test_stream(spark, tmp_path):
         ingest_stream(paths, path, str(tmp_path / "checkpoint"), WordPiece(VOCAB), weights, TOY, "toy").awaitTermination(60)
     rows = index.read_index(spark, path, "toy").collect()
     assert sorted(r["vod_id"] for r in rows) == ["a"] * 4 + ["b"] * 4 + ["c"] * 4 and len({r["chunk_idx"] for r in rows}) == 12
+
+
+def test_attention_in_blocks():
+    """Scores of one block of sequences at a time are held, and scores that exp can't take are shifted first."""
+    import tracemalloc
+
+    model = Encoder(toy_weights(TOY, len(VOCAB)), TOY, np.float64)
+    ids = [[2, *[4 + (i + j) % 10 for j in range(254)], 3] for i in range(64)]
+    tracemalloc.start()
+    together = model.embed(ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and np.allclose(together[7], model.embed([ids[7]])[0], atol=1e-12)
+    rng = np.random.default_rng(1)
+    for scale in (1.0, 40.0):
+        q, k, v = (rng.normal(size=(3, 2, 5, 4)) * s for s in (scale, scale, 1.0))
+        out = np.where(np.arange(5) < np.array([5, 3, 1])[:, None], 0, -1e30)[:, None, None, :]
+        scores = q @ k.transpose(0, 1, 3, 2) + out
+        scores = np.exp(scores - scores.max(-1, keepdims=True))
+        assert np.allclose(model._context(q, k, v, out), scores / scores.sum(-1, keepdims=True) @ v, atol=1e-12)
