@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 from html.entities import html5
 
@@ -118,6 +119,8 @@ def basic_tokens(text: Column) -> Column:
 
 # -- The same in Python, for sequential work within one text -------------------------------
 
+#: Characters of results that are held as Python strings; the longest token whose norm is kept.
+HELD, SHORT = 1 << 20, 32
 _WS_RUN = re.compile("[\t-\r \x85\xa0  -     　]+")
 _NOT_WORD = regex.compile(r"[^\p{Alphabetic}\p{N}']+")
 _NOT_WORD_END = regex.compile(r"[^\p{Alphabetic}\p{N}']+\Z")
@@ -166,11 +169,18 @@ def decode_word(text: str) -> str:
     return unicodedata.normalize("NFKC", _ENTITY.sub(_entity, text))
 
 
-@lru_cache(1 << 16)
-def norm(token: str) -> str:
+def _norm(token: str) -> str:
     return "".join(c.lower() for c in _NOT_WORD.sub("", token))
 
 
+_short_norm = lru_cache(1 << 15)(_norm)
+
+
+def norm(token: str) -> str:
+    """norm_token of one string; only short ones are kept, so the cache is small whatever the texts hold."""
+    return _short_norm(token) if len(token) <= SHORT else _norm(token)
+
+
 def with_tail(first: str, last: str) -> str:
     tail = _NOT_WORD_END.search(last)
     return _NOT_WORD_END.sub("", first) + (tail.group(0) if tail and tail.start() > 0 else "")
@@ -219,10 +229,22 @@ def collapse_text(text: str, max_ngram: int = 4, keep: int = 3) -> str:
         tokens = shorter
 
 
+def _each(texts: pa.Array, f: Callable[[str], str]) -> pa.Array:
+    """f of each text, null of null. No more than some megabytes are held as Python strings at a time."""
+    parts, out, held = [], [], 0
+    for x in texts:
+        out.append(f(x.as_py()) if x.is_valid else None)
+        held += len(out[-1] or "")
+        if held > HELD:
+            parts.append(pa.array(out, pa.string()))
+            out, held = [], 0
+    return pa.concat_arrays([*parts, pa.array(out, pa.string())])
+
+
 def collapse(text: Column, max_ngram: int = 4, keep: int = 3) -> Column:
     @arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([collapse_text(x.as_py(), max_ngram, keep) if x.is_valid else None for x in texts], pa.string())
+        return _each(texts, lambda x: collapse_text(x, max_ngram, keep))
 
     return run(text)
 
@@ -232,6 +254,6 @@ def decode_entities(text: Column) -> Column:
 
     @arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([decode_word(x.as_py()) if x.is_valid else None for x in texts], pa.string())
+        return _each(texts, decode_word)
 
     return run(text)

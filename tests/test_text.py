@@ -42,6 +42,23 @@ def test_collapse_column(spark):
     assert [r["c"] for r in rows] == ["ha ha ha!", None, ""]
 
 
+def test_norms_that_are_kept_are_short():
+    kept = text._short_norm.cache_info().currsize
+    assert text.norm("A-" * 500) == "a" * 500 and text._short_norm.cache_info().currsize == kept
+
+
+def test_results_in_parts(monkeypatch):
+    """Results become Arrow arrays part by part, not as one list of all strings of a batch."""
+    import pyarrow as pa
+
+    sizes, array = [], pa.array
+    monkeypatch.setattr(text, "HELD", 40)
+    monkeypatch.setattr(text.pa, "array", lambda x, *a: (sizes.append(len(x)), array(x, *a))[1])
+    rows = ["ha " * 5, None, "", "x" * 30] * 9
+    got = text._each(array(rows, pa.string()), text.collapse_text)
+    assert got.to_pylist() == [None if r is None else text.collapse_text(r) for r in rows] and max(sizes) <= 12
+
+
 def slow_collapse(source, most, keep):
     """The definition, step by step."""
     tokens, keep = text.split_ws(source), max(keep, 1)
